@@ -25,13 +25,13 @@ from tidemark.llm.shared import ascii_lower, words, written
 WIDTH, LEAST = 5, 0.8
 
 
-def shingles(text: Column, width: int = WIDTH) -> Column:
-    """The distinct shingles of a text's words, space-joined."""
-    w = words(ascii_lower(F.coalesce(text, F.lit(""))))
-    return F.array_distinct(_slide(w, width))
+def with_words(df: DataFrame, text: str, out: str = "w") -> DataFrame:
+    """Adds the words of a text as a column of their own: the shingles refer to it many times."""
+    return df.withColumn(out, words(ascii_lower(F.col(text))))
 
 
-def _slide(w: Column, width: int) -> Column:
+def shingles(w: Column, width: int = WIDTH) -> Column:
+    """The shingles of a column of words, space-joined, in order and with repeats."""
     many = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " "))
     one = F.array(F.array_join(w, " "))
     return F.when(F.size(w) >= width, many).when(F.size(w) > 0, one).otherwise(F.array().cast("array<string>"))
@@ -39,7 +39,8 @@ def _slide(w: Column, width: int) -> Column:
 
 def sketches(items: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
     """Columns item (the row's key), n (shingles), part (the size partition), sh (shingles) and sketch (bottom-k hashes)."""
-    rows = items.select(F.col(key).alias("item"), shingles(F.col(text)).alias("sh")).filter(F.size("sh") > 0)
+    rows = with_words(items.select(F.col(key).alias("item"), F.col(text).alias("t")), "t").filter(F.size("w") > 0)
+    rows = rows.select("item", F.array_distinct(shingles(F.col("w"))).alias("sh"))
     rows = rows.withColumn("n", F.size("sh")).withColumn("part", F.floor(F.log2("n")).cast("int"))
     # The largest item of a partition fixes its k; smaller ones need no more.
     top = F.expr("shiftleft(1, part + 1) - 1")
@@ -52,8 +53,8 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     """Pairs (key, item, n_shingles, n_found, containment) with a containment of `least` or more."""
     known = written(sketches(items, item_key, item_text, least), "items")
     probes = written(known.select(F.explode("sketch").alias("h")).distinct(), "sketch")
-    own = docs.select(F.col(key).alias("d"), words(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("w"))
-    hashed = own.select("d", F.explode(F.transform(_slide(F.col("w"), WIDTH), lambda s: F.xxhash64(s))).alias("h"))
+    own = with_words(docs.select(F.col(key).alias("d"), F.col(text).alias("t")), "t").select("d", "w")
+    hashed = own.select("d", F.explode(F.transform(shingles(F.col("w")), lambda s: F.xxhash64(s))).alias("h"))
     hits = hashed.join(probes, "h").distinct()
     pairs = hits.join(known.select("item", F.explode("sketch").alias("h")), "h").select("d", "item").distinct()
     pairs = written(pairs, "candidates")
@@ -63,7 +64,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, key: str, text: str, least: float) -> DataFrame:
     wanted = pairs.select("d").distinct()
     own = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
-    held = own.join(wanted, own["d"].eqNullSafe(wanted["d"]), "left_semi").select("d", shingles(F.col("t")).alias("ds"))
+    held = with_words(own.join(wanted, own["d"].eqNullSafe(wanted["d"]), "left_semi"), "t").select("d", shingles(F.col("w")).alias("ds"))
     rows = held.join(pairs.withColumnRenamed("d", "pd"), F.col("d").eqNullSafe(F.col("pd"))).drop("pd")
     rows = rows.join(known.select("item", "n", "sh"), "item")
     found = rows.select("d", "item", "n", F.size(F.array_intersect("sh", "ds")).alias("f"))
