@@ -18,8 +18,6 @@ budget of 0 draws nothing. The row at the end of the prefix is drawn in part: ta
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +61,16 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], tables: list[dict[str, int]], budget_share: float, epochs: int) -> DataFrame:
     """leaves (the levels and `have`, the tokens of each leaf): adds `budget`, in whole tokens."""
-    tree = leaves.withColumn("cap", (F.col("have") * epochs).cast("double"))
-    above = leaves.agg((F.floor(F.sum("have") * budget_share)).cast("double").alias("parent_budget")).withColumn("__root", F.lit(0))
+    tree = leaves.withColumn("cap", (F.col("have") * epochs).cast("double")).withColumn("__root", F.lit(0))
+    above = None
     for depth, (level, table) in enumerate(zip(levels, tables, strict=True)):
-        at = tree.groupBy(*levels[: depth + 1]).agg(F.sum("cap").alias("cap")).withColumn("w", weights(F.col(level), table)).withColumn("node", F.col(level))
-        parent = levels[:depth] or ["__root"]
-        at = at.withColumn("__root", F.lit(0)) if not depth else at
-        at = share(at.join(above, parent), parent)
+        at = tree.groupBy("__root", *levels[: depth + 1]).agg(F.sum("cap").alias("cap"), F.sum("have").cast("double").alias("have"))
+        at = at.withColumn("w", weights(F.col(level), table)).withColumn("node", F.col(level))
+        if depth:
+            at = share(at.join(above, levels[:depth]), levels[:depth])
+        else:
+            whole = F.sum("have").over(Window.partitionBy("__root"))
+            at = share(at.withColumn("parent_budget", F.floor(whole * budget_share).cast("double")), ["__root"])
         above = at.select(*levels[: depth + 1], F.col("budget").alias("parent_budget"))
     return leaves.join(above.select(*levels, F.floor(F.col("parent_budget") + 1e-6).cast("long").alias("budget")), levels)
 
