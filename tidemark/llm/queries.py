@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op1_pii, op2_secrets, op3_quality, op5_mixing, op6_html, op7_simhash, op8_decontaminate, op9_media, op10_sharding
+from tidemark.llm import op1_pii, op2_secrets, op3_quality, op4_ngram, op5_mixing, op6_html, op7_simhash, op8_decontaminate, op9_media, op10_sharding
 
 QUERIES = {
     "op1_pii": op1_pii.op1_pii,
     "op2_secrets": op2_secrets.op2_secrets,
     "op3_quality": op3_quality.op3_quality,
+    "op4_ngram": op4_ngram.op4_ngram,
     "op5_mixing": op5_mixing.op5_mixing,
     "op6_html": op6_html.op6_html,
     "op7_simhash": op7_simhash.op7_simhash,
