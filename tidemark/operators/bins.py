@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.axis import Axis
 from tidemark.functions.frequency import DAY, Frequency
 from tidemark.operators.ordering import default_order, next_of, numbered, running_count
+from tidemark.sources.scratch import settled
 
 BIN_COLUMNS = ("bin_id", "bin_start", "bin_end", "bin_label")
 #: Up to so many edges given as a list are searched within the row; more go through an ordered union.
@@ -177,11 +178,11 @@ class RowBins:
 
 
 def _ends_from_rows(rows: DataFrame, column: str, closed: str) -> DataFrame:
-    """Start, end and label of bins made of rows: from each bin's first and last value."""
+    """Start, end and label of bins made of rows, whose numbers follow each other: from each bin's first and last value."""
+    rows = settled(rows, "bins")
     ends = rows.groupBy("bin_id").agg(F.min(column).alias("bin_start"), F.max(column).alias("__last"))
-    following = numbered(ends, ["bin_id"], "__n")
-    after = following.select((F.col("__n") - 1).alias("__n"), F.col("bin_start").alias("__next"))
-    ends = following.join(after, "__n", "left")
+    after = ends.select((F.col("bin_id") - 1).alias("bin_id"), F.col("bin_start").alias("__next"))
+    ends = ends.join(after, "bin_id", "left")
     ends = ends.select("bin_id", "bin_start", F.col("__next" if closed == "left" else "__last").alias("bin_end"), F.col("bin_start").alias("bin_label"))
     return rows.join(ends, "bin_id")
 

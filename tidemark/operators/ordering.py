@@ -1,8 +1,10 @@
-"""Global order without a single task: numbering, fills, set membership and keep-last over range partitions.
+"""Global order without a single task: numbering, fills, set membership and keep-last over ranges of the order.
 
 A window over the whole table would gather it in one task. Instead rows are dealt out by ranges of the order, numbered within
-their partition, and the partitions' counts (one row each) give the offsets. Running values work on blocks of the numbering
-in the same way: inside a block by a window, across blocks by a window over one row for each block.
+their range, and the ranges' counts (one row each) give the offsets. The bounds of the ranges are functions of the rows'
+values alone (the order's values with the least hashes), so every pass over the rows agrees on them, however Spark plans it.
+Running values work on blocks of the numbering in the same way: inside a block by a window, across blocks by a window over
+one row for each block.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of running values.
-BLOCK = 1 << 18
+from tidemark.sources.scratch import settled
+
+#: Rows of a block of running values; values looked at for each bound of a range.
+BLOCK, SAMPLE = 1 << 18, 20
 
 
 def default_order(df: DataFrame, ordered_on: str, seq: list[str] | None = None) -> list[str]:
@@ -21,24 +25,37 @@ def default_order(df: DataFrame, ordered_on: str, seq: list[str] | None = None)
     return [ordered_on, *(c for c in seq if c != ordered_on)]
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "rn", parts: int | None = None) -> DataFrame:
-    """Adds the row's number in the order, from 0.
+def ranges(df: DataFrame, order: list[str], parts: int, out: str) -> DataFrame:
+    """Adds the number of the row's range of the order, of about `parts` even ones; ties in all order columns stay together.
 
-    The number of partitions is explicit, so that adaptive execution leaves partitions as they are dealt out and both uses
-    of the exchange agree on them.
+    The bounds are one row of at most `parts` values, taken from SAMPLE values for each range.
     """
+    names = [f"o{i}" for i in range(len(order))]
+    plain = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)))
+    held = df.select(plain.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts)
+    bounds = held.agg(F.array_sort(F.collect_list("k")).alias("b"))
+    picked = F.expr(f"transform(filter(sequence({SAMPLE}, greatest({SAMPLE}, size(b)), {SAMPLE}), i -> i < size(b)), i -> b[i])")
+    bounds = bounds.select(picked.alias("__bounds"))
+    steps = max(1, parts.bit_length() + 1)
+    search = f"""aggregate(sequence(1, {steps}), named_struct('l', 0, 'h', size(__bounds)), (a, i) -> if(a.l < a.h,
+        if(get(__bounds, cast((a.l + a.h) div 2 as int)) <= __key, named_struct('l', cast((a.l + a.h) div 2 + 1 as int), 'h', a.h),
+           named_struct('l', a.l, 'h', cast((a.l + a.h) div 2 as int))), a), a -> a.l)"""
+    return df.withColumn("__key", plain).join(F.broadcast(bounds)).withColumn(out, F.expr(search)).drop("__bounds", "__key")
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "rn", parts: int | None = None) -> DataFrame:
+    """Adds the row's number in the order, from 0. The order's columns must depend on the row alone."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    rows = ranges(df, order, parts, "__part")
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))  # a row for each partition
-    within = F.col("__id") - F.shiftleft(part, 33)
-    return ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + within).drop("__id", "__part", "__before")
+    offsets = counts.select("__part", before.alias("__before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*(F.col(f"`{c}`") for c in order))) - 1
+    return rows.withColumn("__within", within).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col("__within")).drop("__part", "__within", "__before")
 
 
 def _blocked(df: DataFrame, order: list[str], block: int) -> DataFrame:
-    return numbered(df, order, "__rn").withColumn("__block", F.call_function("div", F.col("__rn"), F.lit(block)))
+    return settled(numbered(df, order, "__rn"), "numbered").withColumn("__block", F.call_function("div", F.col("__rn"), F.lit(block)))
 
 
 def running_count(df: DataFrame, flag: Column, order: list[str], out: str, block: int = BLOCK) -> DataFrame:
@@ -90,7 +107,7 @@ def next_of(points: DataFrame, point: str, marks: DataFrame, mark: str, inclusiv
     payload = payload or []
     held = F.struct(F.col(mark).alias(out), *(F.col(c) for c in payload))
     own = F.struct(*(F.col(f"`{c}`") for c in points.columns))
-    left = points.select(F.col(point).alias("__at"), F.lit(0 if inclusive else 1).alias("__side"), own.alias("__row"), F.lit(None).cast(marks.select(held.alias("m")).schema["m"].dataType).alias("__mark"), F.monotonically_increasing_id().alias("__tie"))
+    left = points.select(F.col(point).alias("__at"), F.lit(0 if inclusive else 1).alias("__side"), own.alias("__row"), F.lit(None).cast(marks.select(held.alias("m")).schema["m"].dataType).alias("__mark"), F.xxhash64(own).alias("__tie"))
     right = marks.select(F.col(mark).alias("__at"), F.lit(1 if inclusive else 0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), held.alias("__mark"), F.lit(0).cast("long").alias("__tie"))
     filled = bfill(left.unionByName(right), "__mark", ["__at", "__side", "__tie"])
     return filled.filter("__row is not null").select("__row.*", "__mark.*")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tidemark.functions.axis import Axis
 from tidemark.functions.frequency import Frequency
 from tidemark.operators.bins import INLINE_EDGES
-from tidemark.operators.ordering import keep_last, next_of, numbered
+from tidemark.operators.ordering import default_order, keep_last, next_of, numbered
 from tidemark.operators.predicates import in_range
 from tidemark.plans.layout import DEFAULT_TARGET, plan, slots_of
 from tidemark.sources.fs import FileSystem
@@ -214,14 +214,22 @@ class OrderedDataset(View):
             if missing:
                 raise ValueError(f"no column {missing[0]!r} to find duplicates on")
             keys = list(dict.fromkeys([on, *named])) if named else list(schema.names)
-        new, places = self._placed(df, distinct, seq, keys) if df is not None else (None, {})
+        staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        try:
+            self._merge(df, target, distinct, keys, max_off_target, metadata, seq, schema, staging)
+        finally:
+            if df is not None:
+                self.fs.delete(staging)
+
+    def _merge(self, df, target, distinct, keys, max_off_target, metadata, seq, schema, staging) -> None:
+        new, places = self._placed(df, distinct, seq, keys, staging) if df is not None else (None, {})
         slots = slots_of([(f.low, f.high) for f in self.files], [f.rows for f in self.files], places, distinct)
         chosen = plan(slots, target, distinct, max_off_target)
         if not chosen:
             if metadata:
                 self.update_metadata(metadata)
             return
-        written, replaced = self._rewrite(new, places, slots, chosen, schema, keys, target)
+        written, replaced = self._rewrite(new, places, slots, chosen, schema, keys, target, seq)
         kept = [f for i, f in enumerate(self.files) if i not in replaced]
         files = tuple(sorted([*kept, *written], key=lambda f: (f.low, f.high)))
         self._commit(replace(self._manifest, files=files, schema=json.dumps(schema.jsonValue())).with_metadata(metadata))
@@ -231,12 +239,11 @@ class OrderedDataset(View):
         if own and {f.name: f.dataType for f in own} != {f.name: f.dataType for f in given}:
             raise ValueError(f"the rows have the schema {given.simpleString()}, the dataset has {own.simpleString()}")
 
-    def _placed(self, df: DataFrame, distinct: bool, seq: list[str] | None, keys: list[str] | None) -> tuple[DataFrame, dict]:
+    def _placed(self, df: DataFrame, distinct: bool, seq: list[str] | None, keys: list[str] | None, staging: str) -> tuple[DataFrame, dict]:
         """The new rows with their place among the files, and the count and bounds of each place."""
         on = self.ordered_on
-        df = df.withColumn(_SRC, F.lit(1)).withColumn(_FILE, F.lit(0).cast("long"))
-        df = numbered(df, [on, *seq], _ROW) if seq else df.withColumn(_ROW, F.monotonically_increasing_id())
-        df = keep_last(df, keys, [on, _ROW])
+        df = df.withColumn(_SRC, F.lit(1)).withColumn(_FILE, F.lit(0).cast("long")).withColumn(_ROW, F.lit(0).cast("long"))
+        df = keep_last(df, keys, default_order(df, on, seq))
         if not self.files:
             df = df.withColumn(_PLACE, F.lit(0))
         elif len(self.files) <= INLINE_EDGES:
@@ -254,10 +261,13 @@ class OrderedDataset(View):
             df = df.withColumn(_PLACE, F.when(F.col("__high").isNull(), 2 * n).otherwise(F.col("__no") * 2 + (F.col("low") <= F.col(on)).cast("int")).cast("int")).drop("__high", "low", "__no")
         if df.filter(F.col(on).isNull()).limit(1).count():
             raise ValueError(f"null in the ordering column {on!r}")
+        # The rows are read several times from here on.
+        df.write.parquet(staging)
+        df = self.spark.read.schema(df.schema).parquet(staging)
         found = df.groupBy(_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("low"), F.max(on).alias("high")).collect()
         return df, {r[_PLACE]: (r.n, r.low, r.high) for r in found}
 
-    def _rewrite(self, new, places, slots, chosen, schema, keys, target) -> tuple[list[DataFile], set[int]]:
+    def _rewrite(self, new, places, slots, chosen, schema, keys, target, seq) -> tuple[list[DataFile], set[int]]:
         on, names = self.ordered_on, schema.names
         region_of_file = {slots[i].file: r for r, (a, b) in enumerate(chosen) for i in range(a, b) if slots[i].file is not None}
         region_of_slot = {i: r for r, (a, b) in enumerate(chosen) for i in range(a, b)}
@@ -278,6 +288,7 @@ class OrderedDataset(View):
             parts.append(new.withColumn(_PLACE, F.col(_PLACE).cast("int")).join(F.broadcast(listed), _PLACE).select(*names, _SRC, _FILE, _ROW, _REGION))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         order = [on, _SRC, _FILE, _ROW]
+        order += [c for c in default_order(self.spark.createDataFrame([], schema), on, seq) if c not in order]
         if keys is not None:
             rows = keep_last(rows, [_REGION, *keys], order)
         if isinstance(target, str):
@@ -290,8 +301,8 @@ class OrderedDataset(View):
             rows = rows.join(F.broadcast(firsts), _REGION).withColumn("__cut", F.call_function("div", F.col("__rn") - F.col("__first"), F.lit(target)))
         batch = f"data/{uuid.uuid4().hex}"
         part = F.concat_ws("-", _REGION, "__cut").alias("cut")
-        rows = rows.select(*names, *order[1:], part).repartition("cut").sortWithinPartitions("cut", *order)
-        rows.drop(*order[1:]).write.partitionBy("cut").parquet(f"{self.path}/{batch}")
+        rows = rows.select(*names, _SRC, _FILE, _ROW, part).repartition("cut").sortWithinPartitions("cut", *order)
+        rows.drop(_SRC, _FILE, _ROW).write.partitionBy("cut").parquet(f"{self.path}/{batch}")
         stats = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/{batch}")
         stats = stats.select(F.col("_metadata.file_path").alias("p"), on).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("low"), F.max(on).alias("high"))
         found = [DataFile(f"{batch}/{r.p.split(f'{batch}/', 1)[1]}", r.n, r.low, r.high) for r in stats.collect()]
