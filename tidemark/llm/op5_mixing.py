@@ -28,6 +28,8 @@ SEED, EPOCHS, BUDGET_SHARE = 17, 3, 0.8
 LANGUAGE_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
 #: A document's domain is the residue of its source's number; the weights are those of the domains.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
+#: Weights of the levels of `documents`: domain, language, source.
+TABLES = [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}]
 
 
 def token_count(text: Column) -> Column:
@@ -123,7 +125,7 @@ def document_levels() -> tuple[list[Column], list[dict[str, int]]]:
     """Domain, language and source of `documents`; the domain follows from the source's number."""
     number = F.coalesce(F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9]{1,9})$", 1), F.lit(""))
     domain = F.when(number == "", F.lit("d0")).otherwise(F.concat(F.lit("d"), number.try_cast("int") % 4))
-    return [domain, F.col("lang"), F.col("source")], [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}]
+    return [domain, F.col("lang"), F.col("source")], TABLES
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -138,7 +140,7 @@ def _case(column: str, table: dict[str, int]) -> str:
 
 def oracle(budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED) -> str:
     """DuckDB SQL of op5: the same tree filled level by level, and each leaf's order summed row by row."""
-    tables = document_levels()[1]
+    tables = TABLES
     parts = [f"""
 r as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint n,
         case when regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' then 'd0'
