@@ -77,16 +77,13 @@ def fill(df: DataFrame, column: str, order: list[str], out: str | None = None, f
     """Adds the last (or with forward=False the next) value that is neither null nor NaN, this row's own included."""
     out = out or column
     rows = _blocked(df.withColumn("__v", _present(df, column)), order, block)
-    inside = Window.partitionBy("__block").orderBy("__rn")
-    edge = Window.orderBy("__block")
-    if forward:
-        within = F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        ends = rows.groupBy("__block").agg(F.max_by(F.col("__v"), F.when(F.col("__v").isNotNull(), F.col("__rn"))).alias("__e"))
-        carried = F.last("__e", ignorenulls=True).over(edge.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        within = F.first("__v", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-        ends = rows.groupBy("__block").agg(F.min_by(F.col("__v"), F.when(F.col("__v").isNotNull(), F.col("__rn"))).alias("__e"))
-        carried = F.first("__e", ignorenulls=True).over(edge.rowsBetween(1, Window.unboundedFollowing))
+    # A fill from behind runs over the reverse order: a frame that reaches to the end is read anew for each row.
+    way = F.asc if forward else F.desc
+    so_far = lambda w, end: w.rowsBetween(Window.unboundedPreceding, end)
+    within = F.last("__v", ignorenulls=True).over(so_far(Window.partitionBy("__block").orderBy(way("__rn")), 0))
+    outermost = F.max_by if forward else F.min_by
+    ends = rows.groupBy("__block").agg(outermost(F.col("__v"), F.when(F.col("__v").isNotNull(), F.col("__rn"))).alias("__e"))
+    carried = F.last("__e", ignorenulls=True).over(so_far(Window.orderBy(way("__block")), -1))
     rows = rows.withColumn("__within", within).join(ends.select("__block", carried.alias("__carried")), "__block")
     return rows.withColumn(out, F.coalesce("__within", "__carried")).drop("__v", "__rn", "__block", "__within", "__carried")
 
