@@ -97,3 +97,19 @@ def test_pack():
     arrays = {"a": np.sort(np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)), "b": np.array([3, 1], np.uint64), "c": np.zeros(0, np.uint32), "d": np.array([1.5], np.float32)}
     for k, a in op.unpack(op.pack(**arrays)).items():
         assert a.dtype == arrays[k].dtype and (a == arrays[k]).all()
+
+
+def test_tables_sent_to_executors(spark, texts, monkeypatch):
+    """Where workers can't open the shared folder, the tables are sent as files."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = op.train(docs)
+    want = {r.k: r.score for r in op.score(docs, model).collect()}
+    local = op._local
+
+    def sent(path, session):
+        path = local(path, session)[0]
+        session.sparkContext.addFile(path, recursive=True)
+        return path.rsplit("/", 1)[1], False
+
+    monkeypatch.setattr(op, "_local", sent)
+    assert {r.k: r.score for r in op.score(docs, model).collect()} == want
