@@ -9,6 +9,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""",
     re.S,
 )
+_UNFINISHED = re.compile(r"<[A-Za-z/!?].*", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -39,6 +40,9 @@ def parse(source: str | None) -> Element:
     """The tree of a page; a root element without a tag. Broken markup is read as far as it makes sense."""
     root = node = Element("", {}, None)
     source = source or ""
+    # Behind the last > there can be no tag, so that none is searched for there; what begins one is dropped.
+    end = source.rfind(">") + 1
+    source = source[:end] + _UNFINISHED.sub("", source[end:])
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
