@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE_CLASS, written
+from tidemark.llm.shared import WORD_PATTERN, written
 
 #: Production settings of the registered query.
 SEED, EPOCHS, BUDGET_SHARE = 17, 3, 0.8
@@ -35,7 +35,7 @@ TABLES = [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}]
 def token_count(text: Column) -> Column:
     """The number of words of a text."""
     text = F.coalesce(text, F.lit(""))
-    return F.regexp_count(text, F.lit(SPACE_CLASS + "*+[^\\x20\\x09-\\x0D]++")).cast("long")
+    return F.regexp_count(text, F.lit(WORD_PATTERN + "+")).cast("long")
 
 
 def weights(column: Column, table: dict[str, int]) -> Column:
