@@ -210,6 +210,8 @@ def test_hooks_and_errors(spark, tmp_path):
     write(spark, store.path(other), "ts", rows(0, 3))
     with pytest.raises(ValueError, match="not made by"):
         AggStream("ts", store, other, agg={"s": ("val", "sum")}, bin_by="1h").run(rows(3, 4))
+    with pytest.raises(SeedError, match="goes back"):
+        late.run(rows(3, 5))
     with pytest.raises(SeedError):
         late.run(spark.createDataFrame([(None, 1)], "ts timestamp_ntz, val long"))
 
@@ -228,6 +230,10 @@ def test_structured_streaming(spark, tmp_path):
         make().stream(read(), str(tmp_path / "cp")).awaitTermination()
     got = [(r["sum"], r["last"]) for r in store[key].ordered().collect()]
     assert got == [(sum(v for _, v in values[i : i + 15]), values[i + 14][1]) for i in range(0, 120, 15)]
+    again, before = make(), store[key].read().collect()
+    again._run(spark.createDataFrame(values[51:], schema), False, False, True, (str(tmp_path / "cp"), 0))  # a batch that was done already
+    again._run(spark.createDataFrame([(moment("07:00"), 5)], schema), False, False, True, (str(tmp_path / "cp"), 99))  # a row that comes too late
+    assert sorted(map(str, store[key].read().collect())) == sorted(map(str, before))
     query = windowed(read(), {"sum": ("val", "sum"), "first": ("val", "first")}, "ts", "30 minutes", "1 minute", ["val"]).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     query.awaitTermination()
     assert sorted(r["sum"] for r in spark.table("w").collect()) == sorted(sum(v for _, v in values[i : i + 30]) for i in range(0, 90, 30))

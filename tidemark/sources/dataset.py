@@ -259,12 +259,12 @@ class OrderedDataset(View):
             df = next_of(df, on, marks, "high", inclusive=distinct, out="__high", payload=["low", "__no"])
             n = len(self.files)
             df = df.withColumn(_PLACE, F.when(F.col("__high").isNull(), 2 * n).otherwise(F.col("__no") * 2 + (F.col("low") <= F.col(on)).cast("int")).cast("int")).drop("__high", "low", "__no")
-        if df.filter(F.col(on).isNull()).limit(1).count():
-            raise ValueError(f"null in the ordering column {on!r}")
         # The rows are read several times from here on.
         df.write.parquet(staging)
         df = self.spark.read.schema(df.schema).parquet(staging)
-        found = df.groupBy(_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("low"), F.max(on).alias("high")).collect()
+        found = df.groupBy(_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("low"), F.max(on).alias("high"), F.count(on).alias("set")).collect()
+        if any(r.set < r.n for r in found):
+            raise ValueError(f"null in the ordering column {on!r}")
         return df, {r[_PLACE]: (r.n, r.low, r.high) for r in found}
 
     def _rewrite(self, new, places, slots, chosen, schema, keys, target, seq) -> tuple[list[DataFile], set[int]]:

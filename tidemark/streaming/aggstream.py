@@ -4,8 +4,8 @@ A run aggregates new rows into bins (and snapshots) for each key and upserts the
 kept as rows: the seed rows of the bin in progress, in a state dataset beside the result, so that a restarted run gives what
 one run over everything would, for any function and hook. A key's restart index is kept by key, in its metadata.
 
-The streaming runner feeds micro-batches of a Structured Streaming source to the same code through foreachBatch; an
-event-time watermark there decides what a batch may close.
+The streaming runner feeds micro-batches of a Structured Streaming source to the same code through foreachBatch. `windowed`
+is the plain streaming aggregate, whose watermark decides what is closed.
 """
 
 from __future__ import annotations
@@ -148,14 +148,14 @@ class AggStream:
             for key in self.configs:
                 work(key)
 
-    def _run(self, chunk: DataFrame, trim: bool, discard: bool, final: bool) -> None:
+    def _run(self, chunk: DataFrame, trim: bool, discard: bool, final: bool, batch: tuple[str, int] | None = None) -> None:
         if self.ordered_on not in chunk.columns:
             raise ValueError(f"no column {self.ordered_on!r} in the seed")
         try:
             if self.pre is not None:
                 changed = self.pre(chunk)
                 chunk = chunk if changed is None else changed
-            last = checked_order(chunk.select(self.ordered_on), self.ordered_on).agg(F.max(self.ordered_on)).first()[0]
+            first, last = checked_order(chunk.select(self.ordered_on), self.ordered_on).agg(F.min(self.ordered_on), F.max(self.ordered_on)).first()
         except Exception as e:
             raise SeedError(f"the seed failed its check: {e}") from e
         if last is None:
@@ -167,22 +167,37 @@ class AggStream:
 
         def work(key):
             config = self.configs[key]
-            restart = self._state(key, config).get("restart_index") if trim else None
-            self._aggregate(key, config, trim_start(of_key[key], self.ordered_on, restart), last, final)
+            state = self._state(key, config)
+            done = state.get("batch")
+            if batch is not None and done and done[0] == batch[0] and done[1] >= batch[1]:
+                return  # this key has had the batch before a failure
+            restart = state.get("restart_index")
+            if restart is not None and not trim and batch is None and first < restart:
+                raise SeedError(f"the seed goes back to {first}, before {restart} where the last run of {key} ended")
+            restart = restart if trim else None
+            self._aggregate(key, config, trim_start(of_key[key], self.ordered_on, restart), last, final, batch)
 
         self._each(work)
 
-    def _aggregate(self, key, config: KeyConfig, rows: DataFrame | None, last, final: bool) -> None:
-        """Results of the open bin's kept rows and the new ones; then the rows of the bin that is open now are kept."""
+    def _aggregate(self, key, config: KeyConfig, rows: DataFrame | None, last, final: bool, batch: tuple[str, int] | None = None) -> None:
+        """Results of the open bin's kept rows and the new ones; then the rows of the bin that is open now are kept.
+
+        Results are upserted by label, and the state (open rows, restart index, batch number) changes in one commit after
+        them, so a run repeated after a failure gives the same.
+        """
         spark, state = self.store.spark, self._state(key, config)
         kept = state.get("open_rows")
         if kept:
             held = spark.read.parquet(f"{self._main(key, config).path}/{kept}")
+            if batch is not None:  # bins before the open one are done
+                rows = rows.filter(F.col(self.ordered_on) >= F.lit(held.agg(F.min(self.ordered_on)).first()[0]))
             rows = held if rows is None else held.unionByName(rows)
         main = self._main(key, config)
         changes = dict(state)
         if last is not None:
             changes["restart_index"] = last
+        if batch is not None:
+            changes["batch"] = list(batch)
         if rows is None or rows.isEmpty():
             if changes != state:
                 main.update_metadata({TAG: changes})
@@ -238,28 +253,18 @@ class AggStream:
             df = df.select(*own.schema.names)
         own.write(df, target=target, duplicates_on=on, max_off_target=config.max_off_target)
 
-    def stream(self, source: DataFrame, checkpoint: str, delay: str = "0 seconds", **trigger):
-        """A started streaming query over a source whose ordering column is a timestamp.
+    def stream(self, source: DataFrame, checkpoint: str, **trigger):
+        """A started streaming query over a source.
 
-        Micro-batches go through `run`; each records its number, so that a batch repeated after a failure is not counted
-        twice. Rows later than `delay` behind the newest one are dropped, as they are by any watermark.
+        Each micro-batch is a run; its checkpoint and number are part of the state's commit, so that a batch repeated after a
+        failure is not counted twice. Rows before the first row of a key's open bin come too late and are dropped.
         """
-        column = self.ordered_on
-        ntz = source.schema[column].dataType.typeName() == "timestamp_ntz"
-        rows = source.withColumn(column, F.col(column).cast("timestamp")) if ntz else source
-        rows = rows.withWatermark(column, delay)
 
         def batch(df: DataFrame, number: int) -> None:
-            own = df.withColumn(column, F.col(column).cast("timestamp_ntz")) if ntz else df
-            done = {key: self._state(key, c).get("batch") for key, c in self.configs.items()}
-            if own.isEmpty() or all(n is not None and n >= number for n in done.values()):
-                return
-            self.run(own)
-            for key, config in self.configs.items():
-                main = self._main(key, config)
-                main.update_metadata({TAG: {**self._state(key, config), "batch": number}})
+            if not df.isEmpty():
+                self._run(df, False, False, True, (checkpoint, number))
 
-        writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        writer = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
