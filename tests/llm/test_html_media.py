@@ -66,3 +66,17 @@ def test_media_round_trip(spark):
 
 def test_media_empty(spark):
     assert op9_media.document_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_media_are_stored_once(spark, monkeypatch):
+    texts = [None, "", "alone", "same", "same", "same", "twice" * 50, "twice" * 50]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    tables, resolved = {}, []
+    write, resolve = op9_media.written, op9_media.resolve
+    monkeypatch.setattr(op9_media, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    monkeypatch.setattr(op9_media, "resolve", lambda *a: resolved.append(a) or resolve(*a))
+    got = op9_media.document_media(docs).collect()
+    media = [(r.digest, bytes(r.media)) for r in tables["media"].collect()]
+    assert len(media) == len(dict(media)) == 4 and len(got) == len(texts) and resolved
+    for r in got:
+        assert op9_media.from_image(dict(media)[r.digest])[: r.n_bytes] == (texts[r.k] or "").encode()

@@ -174,13 +174,42 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     return text.unionByName(found, allowMissingColumns=True)
 
 
+def _shared_slots(refs: DataFrame) -> np.ndarray:
+    """A bit for each of 2^24 slots of digests: set where one stands in several rows."""
+    often = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    slots = often.select(F.conv(F.substring("digest", 1, 6), 16, 10).cast("int").alias("s")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(1 << 24, bool)
+    bits[slots] = True
+    return np.packbits(bits)
+
+
+def _stored_where(bits: np.ndarray, shared: bool):
+    def run(batches):
+        for batch in _stored(batches):
+            slots = np.array([int(d[:6], 16) for d in batch.column(2).to_pylist()], np.int64)
+            yield batch.filter(pa.array((bits[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool) == shared)).select(["digest", "media"])
+
+    return run
+
+
+def media_table(rows: DataFrame, content: str, refs: DataFrame) -> DataFrame:
+    """digest and media (the stored form), written once for each digest.
+
+    Payloads whose digest stands in one row alone are written where they are read; only others are dealt out by digest.
+    """
+    own, bits = rows.select(F.lit(0).alias("k"), F.col(content).cast("binary").alias("c")), _shared_slots(refs)
+    alone, several = (own.mapInArrow(_stored_where(bits, shared), "digest string, media binary") for shared in (False, True))
+    return written(alone.unionByName(several.dropDuplicates(["digest"])), "media")
+
+
 def document_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document as a sequence of one reference to its stored text, resolved by digest to what is read back from it."""
-    read = written(read_back(stored(docs, key, text)), "media")
-    store = written(read.drop("k", "n_bytes").dropDuplicates(["digest"]), "media-store")
-    own = read.select("k", "n_bytes", F.array(F.struct(F.lit(0).alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), "digest", F.lit(None).cast("string").alias("caption"))).alias("items"))
-    refs = own.select("k", "n_bytes", F.explode("items").alias("i")).select("k", "n_bytes", "i.position", "i.caption", "i.digest")
-    return refs.join(store, "digest")
+    """Every document as a sequence of one reference to its stored text, resolved by digest to what is read back from the
+    media table."""
+    refs = written(stored(docs, key, text).drop("media"), "references")
+    features = written(read_back(media_table(docs, text, refs)), "features")
+    item = F.struct(F.lit(0).alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), "digest", F.lit(None).cast("string").alias("caption"))
+    found = resolve(refs.select(F.struct("k", "n_bytes").alias("k"), F.array(item).alias("items")), features)
+    return found.select("k.k", "k.n_bytes", *(c for c in found.columns if c != "k"))
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
