@@ -1,11 +1,17 @@
 """op1 and op2 against brute-force matching with Python's re."""
 
 import hashlib
+import math
 import re
+import time
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import op1_pii, op2_secrets
+from tidemark.llm.shared import regex_spans, spread_join
 
 TEXTS = [
     None, "", " ", "plain words only", "a@b.co", "x a.b+c@d-e.f.g_h@i.j k", "é😀 me@ex.org, 1.2.3.4 and 256.1.1.1 ok 1.2.3.4.5.6.7.8",
@@ -104,3 +110,106 @@ def test_ledger_scans_only_unseen_pairs(spark):
 def test_secrets_empty(spark):
     found, ledger = op2_secrets.update(spark.createDataFrame([], "path string, version int, content string"))
     assert found.count() == 0 and ledger.count() == 0
+
+
+def test_spans_grow_with_the_matches(spark):
+    text = "é12 b +1 234 567 89 token=abcdef1 "
+    took = []
+    for n in (1000, 25_000, 100_000):
+        start = time.perf_counter()
+        row = regex_spans(spark.createDataFrame([(text * n,)], "t string"), "t", "[0-9]+", "x").select("x").first()
+        took.append(time.perf_counter() - start)
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text * n)]
+        assert [(x.s, x.e, x.m) for x in row.x] == want
+        assert [x.nxt for x in row.x[:6]] == [" ", " ", " ", " ", " ", " "] and row.x[1].pre == " b +"
+    assert took[2] < 60  # 600,000 matches in one text
+
+
+def test_failing_matches_are_never_spans(spark):
+    rows = [(i, f"visa card number 4111 1111 1111 1{i:03d}") for i in range(300)]
+    got = {r.doc_id: r.spans for r in op1_pii.digest(op1_pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {i for i, s in got.items() if s} == {i for i, t in rows if luhn(digits(t))}
+
+
+def plain_em(patterns):
+    """EM by loops: {pattern: P(true)} of Counter {(kind, votes...): n}."""
+    soft = {p: 1 / (1 + math.exp(-1.5 * sum(p[1:]))) for p in patterns}
+    for _ in range(op1_pii.EM_ROUNDS):
+        total = [1.0, 1.0]
+        seen = defaultdict(lambda: 0.0)
+        for p, n in patterns.items():
+            for c, share in ((0, 1 - soft[p]), (1, soft[p])):
+                total[c] += n * share
+                for j, vote in enumerate(p[1:]):
+                    seen[c, j, vote] += n * share
+        start = {(0, -1): 4, (0, 0): 2, (0, 1): 1, (1, -1): 1, (1, 0): 2, (1, 1): 4}
+        for p in patterns:
+            logs = [math.log(total[c] / sum(total)) for c in (0, 1)]
+            for c in (0, 1):
+                for j, vote in enumerate(p[1:]):
+                    of = sum(seen[c, j, v] + start[c, v] for v in (-1, 0, 1))
+                    logs[c] += math.log((seen[c, j, vote] + start[c, vote]) / of)
+            soft[p] = 1 / (1 + math.exp(min(60, max(-60, logs[0] - logs[1]))))
+    return soft
+
+
+def test_added_spans_against_plain_em_and_classifier(spark):
+    rng = np.random.default_rng(5)
+    cues, others = ["call ", "phone: ", "tel ", "mobile "], ["version ", "order ", "the ", "invoice "]
+    rows = []
+    for i in range(400):
+        good = i % 3 > 0
+        cue = (cues if good else others)[int(rng.integers(4))]
+        rows.append((i, f"text {cue}({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}{' and' if good else 'x'} +1 (663) 555-{i:04d} mail me{i}@ex.org bob [at] ex{i} [dot] com amex 378282246310005"))
+    rows += [(1000 + i, f"host 2001:0db8:85a3:0000:0000:8a2e:0370:{i:04x} up") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cand = {r.doc_id: r.cand for r in op1_pii.candidates(docs).collect()}
+    everyone = [x for own in cand.values() for x in own]
+    soft = plain_em(Counter((x.kind, *(x[v] for v in op1_pii.VOTES)) for x in everyone))
+    groups = defaultdict(lambda: [0, 0.0])
+    for x in everyone:
+        at = groups[tuple(x[f] for f in op1_pii.FEATURES)]
+        at[0] += 1
+        at[1] += soft[(x.kind, *(x[v] for v in op1_pii.VOTES))]
+    # The classifier's fit by plain gradient steps on the same penalised likelihood.
+    keys = list(groups)
+    x = np.zeros((len(keys), op1_pii._WIDTH))
+    for row, k in zip(x, keys, strict=True):
+        row[op1_pii._hot(*k)] = 1
+    n, y = np.sqrt([groups[k][0] for k in keys]), np.array([groups[k][1] / groups[k][0] for k in keys])
+    w = np.zeros(op1_pii._WIDTH)
+    for _ in range(60_000):
+        w += 2e-3 * (x.T @ (n * (y - 1 / (1 + np.exp(-x @ w)))) - 0.05 * w)
+    score = dict(zip(keys, 1 / (1 + np.exp(-x @ w)), strict=True))
+    found = {r.doc_id: r.found for r in op1_pii.detect(docs).collect()}
+    added = 0
+    for key, own in cand.items():
+        want = {(c.kind, c.s, c.e) for c in own if c.base or score[tuple(c[f] for f in op1_pii.FEATURES)] >= op1_pii.ADD_AT}
+        assert want == {(f.kind, f.s, f.e) for f in found[key]}
+        for f in found[key]:
+            assert f.score == pytest.approx(next(score[tuple(c[k] for k in op1_pii.FEATURES)] for c in own if (c.kind, c.s, c.e) == (f.kind, f.s, f.e)), abs=1e-3)
+            added += not f.base
+    assert added > 400
+
+
+def test_ledger_outlasts_its_run(spark, tmp_path):
+    ledger = op2_secrets.Ledger(spark, str(tmp_path / "ledger"))
+    first = spark.createDataFrame([("a", 1, "token=abcdef1"), ("b", 1, None)], "path string, version int, content string")
+    assert ledger.rows().count() == 0
+    op2_secrets.update(first, ledger)
+    again = op2_secrets.Ledger(spark, str(tmp_path / "ledger"))
+    found, new = op2_secrets.update(first, again)
+    assert new.count() == 0 and {(r.path, len(r.findings)) for r in found.collect()} == {("a", 1), ("b", 0)}
+    _, new = op2_secrets.update(first.unionByName(spark.createDataFrame([("a", 2, "secret: abcdefg")], first.schema)), again)
+    assert new.count() == len(op2_secrets.RULES) and len(again.runs()) == 3
+
+
+def test_spread_join_is_a_join(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None) for i in range(600)], "i int, key string").repartition(5)
+    right = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(0, 50, 2)), (None, 9)], "key string, v int")
+    for how in ("left", "inner"):
+        want = sorted(left.join(right, "key", how).select("i", "v").collect())
+        assert sorted(spread_join(left, right, "key", how).select("i", "v").collect()) == want
+    many = spark.range(200_000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    rows = spread_join(many, right, "key").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 200_000

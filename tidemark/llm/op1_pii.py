@@ -1,14 +1,19 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 Candidates are regex matches of two kinds: *base* ones, which a strict pattern and its validation accept and which always
-stay, and *weak* ones (matches that fail validation, national phone numbers, spelled-out addresses). On each candidate five
-labelers vote +1, 0 or -1: the strict format, a gazetteer, the words before it, its borders and a placeholder check.
-The votes of all candidates are counted by pattern in Spark; the table of patterns is bounded (kinds x 3^5 x length classes),
-so expectation-maximisation of the labelers' class-conditional reliabilities, and the logistic span classifier fitted to the
-resulting soft labels, run on the driver over that table. Weak candidates that the classifier scores at 0.5 or more are added.
-
-Defined cases: a null text counts as empty; an empty table gives an empty result; repeated rows give repeated rows; weak
-spans that overlap a base span of the same kind are dropped. Extra columns of the input are not carried.
+stay, and *weak* ones, of forms that the strict patterns don't take (national phone numbers, spelled-out addresses, card
+numbers of 13 to 15 digits that pass Luhn, IPv6 addresses). Matches of a strict pattern that fail its validation are dropped.
+
+On each candidate five labelers vote +1, 0 or -1: the strict format, a gazetteer, the words before it, its borders and a
+placeholder check. The votes of all candidates are counted by pattern in Spark (4 kinds x 3^5 rows at most);
+expectation-maximisation over that table estimates the labelers' class-conditional reliabilities and gives each pattern a soft
+label. The span classifier doesn't see the votes: its features are the span's kind, length, shape and border and the word
+before it (hashed). Soft labels of all candidates are summed by these features in Spark (4 x 4 x SHAPES x WORDS_BEFORE x 3
+rows at most), which is all that its logistic fit on the driver needs. Weak candidates that it scores at 0.5 or more are added.
+
+Defined cases: a null text counts as empty; an empty table gives an empty result; repeated rows and keys give repeated rows;
+weak spans that overlap a base span of the same kind are dropped; spans of different kinds may overlap; a text of any length
+is searched whole, in time n log n in its matches. Extra columns of the input are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,17 +30,19 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: Strict patterns. Possessive loops and the anchors keep matching linear on long runs; they accept the same spans as
 #: the plain forms: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, ip four dotted digit runs,
-#: card [0-9]([\x20-]?[0-9])+, phone \+[0-9][\x20().0-9-]+[0-9].
+#: card [0-9]([\x20-]?[0-9])+ (of 16 digits or more: a run of fewer has no match at any place of it), phone \+[0-9][\x20().0-9-]+[0-9].
 _L = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_L})){_L}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Forms that the strict patterns do not take.
+#: Forms that the strict patterns do not take, and SQL over the match x.m that accepts them.
 WEAK = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?i:dot)[\])]\x20?)[A-Za-z0-9-]{2,63}){1,4}",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+.)(-])(?<!\+[0-9]\x20)(?<!\+[0-9]{2}\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])",
 }
 #: Gazetteers and cue words (fixed lists of the labelers).
@@ -50,6 +57,8 @@ CUES = {
 COUNTER_CUES = r"(?i)(?:version|release|isbn|issn|doi|order|invoice|ticket|build|section|figure|\bv)\W{0,3}$"
 VOTES = ("v_format", "v_gazetteer", "v_context", "v_border", "v_placeholder")
 EM_ROUNDS, ADD_AT = 60, 0.5
+SHAPES, WORDS_BEFORE = 16, 32
+FEATURES = ("kind", "size", "shape", "before", "after")
 
 
 def _digits(m: Column) -> Column:
@@ -76,7 +85,7 @@ def _valid(kind: str) -> str:
 def _gazetteer(kind: str) -> str:
     return {
         "email": f"if(lower(x.m) rlike '[.\\\\])](?:{TOP_LEVEL})$', 1, -1)",
-        "ip": r"if(x.m rlike '^(?:0|127|255|224)\\.', -1, if(x.m rlike '^[0-9]\\.[0-9]\\.[0-9]\\.[0-9]$', -1, 1))",
+        "ip": r"if(x.m rlike '^(?:0|127|255|224|fe80|::)\\.', -1, if(x.m rlike '^[0-9]\\.[0-9]\\.[0-9]\\.[0-9]$', -1, 1))",
         "card": "if(x.m rlike '^(?:4|5[1-5]|2[2-7]|3[47]|6)', 1, 0)",
         "phone": f"if(x.m rlike '^\\\\+(?:{COUNTRY_CODES})', 1, if(x.m rlike '^[(]?[2-9]', 0, -1))",
     }[kind]
@@ -86,30 +95,36 @@ def _quote(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def _weak_valid(kind: str) -> str:
+    digits = "regexp_replace(x.m, '[^0-9]', '')"
+    return f"{digits} rlike '^(?:3[04678]|4)' and {_luhn(digits)}" if kind == "card" else "true"
+
+
 def _candidates(column: str, kind: str, weak: bool) -> Column:
-    """Structs of a span, whether it is a base one, and the votes on it."""
-    ok = "false" if weak else _valid(kind)
-    strict = "0" if weak else f"if({ok}, 1, -1)"
+    """Structs of a span, whether it is a base one, the votes on it and the classifier's features."""
+    held = f"filter({column}, x -> {_weak_valid(kind) if weak else _valid(kind)})"
     tail = "x.m rlike '([0-9])\\\\1{9,}|(?:0123|1234)56789|0{8,}'"
-    return F.expr(f"""transform({column}, x -> named_struct('kind', '{kind}', 's', x.s, 'e', x.e, 'base', {ok},
-        'v_format', {strict}, 'v_gazetteer', {_gazetteer(kind)},
+    shape = "regexp_replace(regexp_replace(regexp_replace(x.m, '[0-9]+', '0'), '[a-z]+', 'a'), '[A-Z]+', 'A')"
+    return F.expr(f"""transform({held}, x -> named_struct('kind', '{kind}', 's', x.s, 'e', x.e, 'base', {"false" if weak else "true"},
+        'v_format', {0 if weak else 1}, 'v_gazetteer', {_gazetteer(kind)},
         'v_context', if(x.pre rlike '{_quote(CUES[kind])}', 1, if(x.pre rlike '{_quote(COUNTER_CUES)}', -1, 0)),
         'v_border', if(right(x.pre, 1) rlike '[A-Za-z0-9_]' or x.nxt rlike '[A-Za-z0-9_]', -1, 1),
         'v_placeholder', if({tail}, -1, 0),
-        'size', cast(case when x.e - x.s < 8 then 0 when x.e - x.s < 13 then 1 when x.e - x.s < 20 then 2 else 3 end as int)))""")
+        'size', cast(case when x.e - x.s < 8 then 0 when x.e - x.s < 13 then 1 when x.e - x.s < 20 then 2 else 3 end as int),
+        'shape', cast(pmod(xxhash64({shape}), {SHAPES}) as int),
+        'before', cast(pmod(xxhash64(lower(regexp_extract(x.pre, '([^\\\\W0-9_]+)\\\\W*$', 1))), {WORDS_BEFORE}) as int),
+        'after', case when x.nxt rlike '[A-Za-z0-9_]' then 2 when x.nxt rlike '[^ ]' then 1 else 0 end))""")
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and array `cand` of all candidate spans of each row, in the order of KINDS, base ones before weak ones."""
-    df = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    df = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     names = []
     for kind, pattern in BASE.items():
         df = regex_spans(df, "__text", pattern, f"__{kind}").withColumn(f"__{kind}", _candidates(f"__{kind}", kind, False))
-        names.append(f"__{kind}")
-        if kind in WEAK:
-            df = regex_spans(df, "__text", WEAK[kind], f"__w{kind}").withColumn(f"__w{kind}", _candidates(f"__w{kind}", kind, True))
-            df = df.withColumn(f"__w{kind}", F.expr(f"filter(__w{kind}, w -> not exists(__{kind}, b -> b.base and b.s < w.e and w.s < b.e))"))
-            names.append(f"__w{kind}")
+        df = regex_spans(df, "__text", WEAK[kind], f"__w{kind}").withColumn(f"__w{kind}", _candidates(f"__w{kind}", kind, True))
+        df = df.withColumn(f"__w{kind}", F.expr(f"filter(__w{kind}, w -> not exists(__{kind}, b -> b.s < w.e and w.s < b.e))"))
+        names += [f"__{kind}", f"__w{kind}"]
     return df.select(key, F.concat(*names).alias("cand"))
 
 
@@ -134,23 +149,32 @@ def fit_reliabilities(patterns: list[dict]) -> list[float]:
     return posterior.tolist()
 
 
-def _features(p: dict) -> list[float]:
-    return [1.0, *(float(p["kind"] == k) for k in KINDS), *(float(p[v] == s) for v in VOTES for s in (1, -1)), *(float(p["size"] == i) for i in range(4))]
+def _hot(kind: str, size: int, shape: int, before: int, after: int) -> list[int]:
+    """The places of a candidate's features that are 1: bias, kind and size, kind and shape, word before, character after."""
+    k = KINDS.index(kind)
+    return [0, 1 + 4 * k + size, 17 + SHAPES * k + shape, 17 + 4 * SHAPES + before, 17 + 4 * SHAPES + WORDS_BEFORE + after]
 
 
-def fit_classifier(patterns: list[dict], soft: list[float]) -> list[float]:
-    """Weights of a ridge logistic regression of the soft labels on the features, by Newton steps."""
-    width = len(_features({"kind": "", "size": -1, **dict.fromkeys(VOTES, 0)}))
-    w = np.zeros(width)
-    if not patterns:
+_WIDTH = 20 + 4 * SHAPES + WORDS_BEFORE
+
+
+def fit_classifier(groups: list[dict]) -> list[float]:
+    """Weights of a ridge logistic regression, by Newton steps, over groups of equal features with n members and the sum y of
+    their soft labels."""
+    w = np.zeros(_WIDTH)
+    if not groups:
         return w.tolist()
-    x, y = np.array([_features(p) for p in patterns]), np.array(soft)
-    n = np.array([p["n"] for p in patterns], float)
-    n = n / n.mean()
+    x = np.zeros((len(groups), _WIDTH))
+    for row, g in zip(x, groups, strict=True):
+        row[_hot(*(g[f] for f in FEATURES))] = 1.0
+    n = np.array([g["n"] for g in groups], float)
+    y = np.array([g["y"] for g in groups], float) / n
+    # Rare forms must not drown in frequent ones: a group counts by the root of its size.
+    n = np.sqrt(n)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (n * (y - p)) - 0.05 * w
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(width)
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(_WIDTH)
         step = np.linalg.solve(curve, slope)
         w = w + step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
     return w.tolist()
@@ -158,19 +182,30 @@ def fit_classifier(patterns: list[dict], soft: list[float]) -> list[float]:
 
 def _score(weights: list[float]) -> str:
     """SQL of the classifier's score over a candidate x."""
-    names = ["true", *(f"x.kind = '{k}'" for k in KINDS), *(f"x.{v} = {s}" for v in VOTES for s in (1, -1)), *(f"x.size = {i}" for i in range(4))]
-    terms = [f"if({n}, {w!r}D, 0D)" for n, w in zip(names, weights, strict=True) if math.isfinite(w) and w]
-    return f"1D / (1D + exp(-({' + '.join(terms) or '-50D'})))"
+    table = f"array({', '.join(f'{w if math.isfinite(w) else 0.0!r}D' for w in weights)})"
+    k = "case x.kind " + " ".join(f"when '{kind}' then {i}" for i, kind in enumerate(KINDS)) + " end"
+    at = ["0", f"1 + 4 * {k} + x.size", f"17 + {SHAPES} * {k} + x.shape", f"{17 + 4 * SHAPES} + x.before", f"{17 + 4 * SHAPES + WORDS_BEFORE} + x.after"]
+    return f"1D / (1D + exp(-({' + '.join(f'get({table}, {i})' for i in at)})))"
+
+
+def soft_labelled(one: DataFrame) -> list[dict]:
+    """Groups of candidates of equal features: their number n and the sum y of their soft labels, from EM over all votes."""
+    patterns = [r.asDict() for r in one.groupBy("kind", *VOTES).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 4 x 3^5
+    patterns.sort(key=lambda p: tuple(map(str, p.values())))
+    soft = fit_reliabilities(patterns)
+    if not patterns:
+        return []
+    rows = ", ".join("('{}', {}, {!r}D)".format(p["kind"], ", ".join(str(p[v]) for v in VOTES), y) for p, y in zip(patterns, soft, strict=True))
+    known = one.sparkSession.sql(f"select * from values {rows} as t(kind, {', '.join(VOTES)}, y)")
+    groups = one.join(F.broadcast(known), ["kind", *VOTES]).groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("decimal(20,12)")).cast("double").alias("y"))
+    return sorted((r.asDict() for r in groups.collect()), key=lambda g: tuple(str(g[f]) for f in FEATURES))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and `found`: array of structs kind, s, e, base, score; base spans and those that the classifier adds."""
     cand = written(candidates(docs, key, text), "pii")
-    one = cand.select(F.explode("cand").alias("x")).select("x.kind", *(f"x.{v}" for v in VOTES), "x.size")
-    counted = one.groupBy("kind", *VOTES, "size").agg(F.count(F.lit(1)).alias("n"))
-    patterns = [r.asDict() for r in counted.collect()]  # at most 4 kinds x 3^5 votes x 4 sizes
-    patterns.sort(key=lambda p: tuple(map(str, p.values())))
-    weights = fit_classifier(patterns, fit_reliabilities(patterns))
+    one = cand.select(F.explode("cand").alias("x")).select("x.kind", *(f"x.{v}" for v in VOTES), *(f"x.{f}" for f in FEATURES[1:]))
+    weights = fit_classifier(soft_labelled(one))
     scored = F.expr(f"transform(cand, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'base', x.base, 'score', {_score(weights)}))")
     return cand.select(key, F.filter(scored, lambda x: x["base"] | (x["score"] >= ADD_AT)).alias("found"))
 

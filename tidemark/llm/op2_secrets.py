@@ -4,8 +4,12 @@ Every historical version of every path is content-addressed (SHA-256 of its byte
 blob and rule version that was scanned, with its findings, empty ones too. A run scans only pairs that the ledger lacks,
 once for each blob however many paths share it, and joins the findings back to all paths and versions.
 
+Between runs a Ledger keeps these rows as Parquet, a folder for each run, so that a run that fails leaves the others whole.
+
 Defined cases: null content counts as empty; repeated rows give repeated rows; null paths are kept and get the findings of
-their content; an empty table gives an empty result. Extra columns of the input are not carried.
+their content; spans that start at the same place stand in the order of their rules; a text of any length is scanned whole, in
+time n log n in its matches; an empty table gives an empty result. A path that most rows share and a content that most rows
+share are dealt over tasks. Extra columns of the input are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import regex_spans, span_text, written
+from tidemark.llm.shared import regex_spans, shared_path, span_text, spread_join, written
+from tidemark.sources.fs import FileSystem
 
 
 @dataclass(frozen=True)
@@ -47,10 +52,32 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 FINDING = "struct<kind:string,s:int,e:int>"
+LEDGER = f"blob string, rule_version string, findings array<{FINDING}>"
 
 
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rule_version string, findings array<{FINDING}>")
+    return spark.sql(f"select * from values ('', '', cast(array() as array<{FINDING}>)) as t(blob, rule_version, findings) where false")
+
+
+class Ledger:
+    """Ledger rows that outlast a run: blob, rule_version and findings under a path of any file system that Spark writes."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), FileSystem(spark, path)
+
+    def runs(self) -> list[str]:
+        """The folders of finished runs, oldest first."""
+        return [f"{self.path}/{name}" for name in self.files.names(self.path, True) if self.files.exists(f"{self.path}/{name}/_SUCCESS")]
+
+    def rows(self) -> DataFrame:
+        found = self.runs()
+        return self.spark.read.schema(LEDGER).parquet(*found) if found else empty_ledger(self.spark)
+
+    def append(self, new: DataFrame) -> DataFrame:
+        """Writes the rows as one more run and gives them as read back."""
+        path = f"{self.path}/run-{len(self.files.names(self.path, True)):08d}"
+        new.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(LEDGER).parquet(path)
 
 
 def addressed(versions: DataFrame, path: str, content: str, version: str | None = None) -> DataFrame:
@@ -58,16 +85,14 @@ def addressed(versions: DataFrame, path: str, content: str, version: str | None
     return versions.select(
         F.col(path).alias("path"),
         (F.col(version) if version else F.lit(0)).alias("version"),
-        F.coalesce(F.col(content), F.lit("")).alias("content"),
+        F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content"),
     ).withColumn("blob", F.sha2("content", 256))
 
 
-def unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
+def unseen(blobs: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """For each blob (with a holder that has its content) the rule versions that the ledger lacks; none: no row."""
     heads = blobs.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("holder"))
     every = F.array(*(F.lit(r.version) for r in rules))
-    if ledger is None:
-        return heads.withColumn("need", every)
     pairs = heads.withColumn("rule_version", F.explode(every))
     pairs = pairs.join(ledger.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti")
     return pairs.groupBy("blob").agg(F.first("holder").alias("holder"), F.collect_set("rule_version").alias("need"))
@@ -90,15 +115,17 @@ def scan(blobs: DataFrame, todo: DataFrame, rules=RULES) -> DataFrame:
     return rows.groupBy("blob", "rule_version").agg(F.first("findings").alias("findings"))  # a repeated row holds the same
 
 
-def update(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", content: str = "content", version: str | None = "version", rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings of every path and version, ledger rows to append). Give the ledger that earlier runs left, or None."""
+def update(versions: DataFrame, ledger: DataFrame | Ledger | None = None, path: str = "path", content: str = "content", version: str | None = "version", rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings of every path and version, the ledger rows that are new). Give the ledger that earlier runs left: a Ledger, to
+    which the new rows are appended, or its rows, to which the caller appends them."""
+    spark = versions.sparkSession
     blobs = addressed(versions, path, content, version)
-    new = written(scan(blobs, unseen(blobs, ledger, rules), rules), "ledger")
-    known = new if ledger is None else ledger.unionByName(new)
-    current = known.filter(F.col("rule_version").isin([r.version for r in rules]))
+    before = ledger.rows() if isinstance(ledger, Ledger) else empty_ledger(spark) if ledger is None else ledger
+    found = scan(blobs, unseen(blobs, before, rules), rules)
+    new = ledger.append(found) if isinstance(ledger, Ledger) else written(found, "ledger")
+    current = before.unionByName(new).filter(F.col("rule_version").isin([r.version for r in rules]))
     by_blob = written(current.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")), "by-blob")
-    at = blobs.select("path", "version", "blob")
-    return at.join(by_blob, "blob", "left"), new
+    return spread_join(blobs.select("path", "version", "blob"), by_blob, "blob"), new
 
 
 def digest(found: DataFrame, key: str = "doc_id", rules=RULES) -> DataFrame:
@@ -118,5 +145,36 @@ def digest(found: DataFrame, key: str = "doc_id", rules=RULES) -> DataFrame:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
+    """A first run over `documents`, whose ledger lies in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digest(update(docs, None, path="doc_id", content="text", version=None)[0])
+    return digest(update(docs, Ledger(spark, shared_path(spark, "blob-ledger")), path="doc_id", content="text", version=None)[0])
+
+
+def secret_ledger(spark, sf_dir: str) -> DataFrame:
+    """A second run: the ledger has every document's first version; the history now holds both, and all findings are joined
+    back. `scanned` is the number of pairs of blob and rule version that this run had to scan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    later = F.concat(F.coalesce("content", F.lit("")), F.lit("\ntoken="), F.md5(F.col("path").cast("string").cast("binary")))
+    both = docs.unionByName(docs.select("path", F.lit(2).alias("version"), later.alias("content")))
+    ledger = Ledger(spark, shared_path(spark, "blob-ledger"))
+    update(docs, ledger)
+    found, new = update(both, ledger)
+    scanned = new.groupBy("blob").agg(F.count(F.lit(1)).alias("scanned"))
+    counts = [F.expr(f"cast(size(filter(findings, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE_KINDS]
+    rows = found.join(scanned, "blob", "left")
+    return rows.select(F.col("path").alias("doc_id"), "version", *counts, F.coalesce("scanned", F.lit(0)).cast("long").alias("scanned"))
+
+
+def ledger_oracle() -> str:
+    """DuckDB SQL of secret_ledger."""
+    assign = r"""(?:(?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    return f"""
+with t as (select doc_id, 1 as version, coalesce(text, '') c from documents union all
+           select doc_id, 2, coalesce(text, '') || chr(10) || 'token=' || md5(doc_id::varchar) from documents)
+select doc_id, version,
+       len(list_filter(regexp_extract_all(c, '{assign}', 1), lambda x: len(x) >= 6))::bigint n_assign,
+       len(regexp_extract_all(c, 'AKIA[A-Z0-9]{{16,}}'))::bigint n_access,
+       len(regexp_extract_all(c, '[0-9a-f]{{24,}}'))::bigint n_hex,
+       case when c in (select coalesce(text, '') from documents) then 0 else {len(RULES)} end::bigint scanned
+from t
+"""

@@ -1,41 +1,44 @@
-"""What the corpus operators share: tables in the shared folder, whole-text tokens, regex spans with positions."""
+"""What the corpus operators share: whole-text tokens, regex spans with positions, joins on uneven keys."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import settled as written
+from tidemark.sources.scratch import shared_place as shared_path
+
+__all__ = ["ascii_lower", "regex_spans", "shared_path", "span_text", "spare", "spread_join", "words", "written"]
+
 #: White space of the token contracts: space and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A key with more than one in HOT rows is dealt over SALTS tasks; there are at most HOT such keys.
+HOT, SALTS = 1000, 48
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+def spare(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it differ from all columns of the frame."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left joined to right, which has one row for each key, where one key may hold a large part of left's rows.
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: its lineage is cut, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Such keys are found by their counts (at most HOT of them, so that they may be broadcast); left's rows of these go to SALTS
+    tasks, right's rows to each of them. Null keys match nothing and are dealt out too.
+    """
+    counts = written(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.filter((F.col("n") * HOT > total) & F.col(key).isNotNull()).select(key, F.lit(True).alias("__hot"))
+    dealt = F.when(F.col("__hot") | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    left = left.join(F.broadcast(hot), key, "left").withColumn("__salt", dealt).drop("__hot")
+    right = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot"), SALTS - 1).otherwise(0)))).drop("__hot")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -53,20 +56,21 @@ def regex_spans(df: DataFrame, text: str, pattern: str, out: str, context: int =
     """Adds `out`: the leftmost non-overlapping matches of `pattern`, as structs of start and end (code points, end
     exclusive), the match `m`, up to `context` characters before it (`pre`) and the one after it (`nxt`).
 
-    The text between matches and the matches themselves come from two passes of the same matcher, so offsets are sums of
-    lengths; the work is linear in the text.
+    The text between matches and the matches themselves come from two passes of the same matcher, so ends are running sums
+    of lengths. These are made by doubling (each round adds the sum that stood twice as far ahead), n log n in the matches.
     """
-    gaps, hits = f"__gap_{out}", f"__hit_{out}"
-    lit = F.lit(pattern)
-    df = df.withColumn(hits, F.regexp_extract_all(F.col(text), lit, F.lit(0)))
+    gaps, hits, ends = f"__gap_{out}", f"__hit_{out}", f"__end_{out}"
+    df = df.withColumn(hits, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")))
-    one = "struct<s:int,e:int,m:string,pre:string,nxt:string>"
-    around = f"""transform({hits}, (m, i) -> named_struct('g', length(get({gaps}, i)), 'l', length(m), 'm', m,
-        'pre', right(get({gaps}, i), {context}), 'nxt', left(get({gaps}, i + 1), 1)))"""
-    fold = f"""aggregate({around}, named_struct('pos', 0, 'out', cast(array() as array<{one}>)),
-        (acc, x) -> named_struct('pos', acc.pos + x.g + x.l, 'out', concat(acc.out, array(named_struct(
-            's', acc.pos + x.g, 'e', acc.pos + x.g + x.l, 'm', x.m, 'pre', x.pre, 'nxt', x.nxt)))), acc -> acc.out)"""
-    return df.withColumn(out, F.expr(fold)).drop(gaps, hits)
+    rounds = f"cast(ceil(log2(greatest(size({hits}), 2))) as int) - 1"
+    lengths = f"zip_with({hits}, slice({gaps}, 1, size({hits})), (m, g) -> length(m) + length(g))"
+    further = "transform(acc, (x, i) -> x + if(i >= shiftleft(1, k), get(acc, i - shiftleft(1, k)), 0))"
+    df = df.withColumn(ends, F.expr(f"aggregate(sequence(0, {rounds}), {lengths}, (acc, k) -> {further})"))
+    df = df.withColumn(out, F.expr(f"arrays_zip({hits}, slice({gaps}, 1, size({hits})), slice({gaps}, 2, size({hits})), {ends})"))
+    fields = df.schema[out].dataType.elementType.names
+    m, gap, after, end = (f"z.`{f}`" for f in fields)
+    one = f"named_struct('s', {end} - length({m}), 'e', {end}, 'm', {m}, 'pre', right({gap}, {context}), 'nxt', left({after}, 1))"
+    return df.withColumn(out, F.expr(f"transform({out}, z -> {one})")).drop(gaps, hits, ends)
 
 
 def span_text(spans: Column) -> Column:
