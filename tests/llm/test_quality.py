@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -68,7 +70,43 @@ def test_odd_rows(spark):
     assert op.score(docs.limit(0), op.fit(docs.limit(0), labels)).count() == 0
 
 
-def test_long_text_scores_like_one_pass():
+def plain_score(net, text):
+    """The score of one text from all its passages at once."""
+    whole = list(text_arrays.pieces(pa.array([text]), 1 << 40))
+    x = np.concatenate([op._passages(p)[0] for p in whole]).astype(np.float64)
+    e = np.tanh((x - net.mean) / net.scale @ net.p["W"] + net.p["h"])
+    s = (np.tanh(e @ net.p["V"]) / (1 + np.exp(-(e @ net.p["U"])))) @ net.p["w"]
+    a = np.exp(s - s.max())
+    return 1 / (1 + np.exp(-((a / a.sum()) @ e @ net.p["c"] + net.p["b"][0])))
+
+
+def test_scores_like_one_pass(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = op.Network().fit([rng.normal(size=(3, op.WIDTH)) for _ in range(8)], np.array([0.0, 1.0] * 4), 40)
+    words = ["some", "words", "and", "More!", "|", "12", "é"]
+    texts = ["", None, "a", "   ", *(" ".join(rng.choice(words, n)) for n in (3, 64, 65, 900, 5000))]
+    want = [plain_score(net, t or "") for t in texts]
+    assert net.scores(pa.array(texts)) == pytest.approx(want, abs=1e-9)
+    # With a passage to each of 40 pieces only the byte pair across each edge is missing.
+    own = ["".join(f"w{i:02d} " for i in range(64)) * 40]
+    pieces = [p for p in text_arrays.pieces(pa.array(own), 4 * 64 - 1)]
+    monkeypatch.setattr(op, "pieces", lambda texts, cut_words: iter(pieces))
+    assert len(pieces) == 40 and net.scores(pa.array(own)) == pytest.approx([plain_score(net, own[0])], abs=5e-3)
+
+
+def test_long_texts_without_white_space():
     net = op.Network().fit([np.random.default_rng(i).normal(size=(3, op.WIDTH)) for i in range(8)], np.array([0.0, 1.0] * 4), 5)
-    text = "some words and More! | 1 " * 200_000
-    assert 0 <= net.scores(pa.array([text, text]))[0] <= 1 and np.ptp(net.scores(pa.array([text, text]))) == 0
+    got = list(text_arrays.pieces(pa.array(["x" * 9_000_000, "a b"]), cut_words=True))
+    assert max(len(p.data) for p in got) <= 3 * text_arrays.PIECE and sum(len(p.data) for p in got) == 9_000_003
+    assert all(0 <= x <= 1 for x in net.scores(pa.array(["x" * 9_000_000, "words " * 900_000])))
+
+
+def test_the_fit_takes_every_passage_and_one_row_a_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op.Network, "fit", lambda self, bags, labels, rounds=0: seen.append((bags, labels)) or self)
+    free = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(free[0], "good words here " * 2000)] * 2 + [(i, "bad | bad") for i in range(20) if i != free[0]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, j % 2) for j, i in enumerate(free)] + [(i, 1) for i in range(20) if i not in free], "doc_id long, quality int")
+    op.fit(docs, labels)
+    assert len(seen[0][0]) == len(free)
+    assert sorted(len(b) for b in seen[0][0]) == [1] * (len(free) - 1) + [-(-6000 // op.WORDS)]

@@ -4,13 +4,16 @@ A document is a bag of passages of 64 words. Each passage is encoded (shares of
 byte pairs, then a learned layer); gated attention, learned from document labels alone, weighs the passages; the weighted
 passage representation is scored by a logistic unit. Encoding runs over whole texts in numpy, in pieces of bounded size.
 
-The network is fitted on the driver on at most SAMPLE labelled documents (the least by a hash of their key) with at most
-BAG passages each, spread evenly over the text; scoring uses every passage. Fitting reads labels of rows with
-crc32(doc_id) mod 3 other than 1 only; label, lang, source and key are never inputs of a score.
+The network is fitted on the driver on a bounded sample of labelled documents: at most SAMPLE of them, the least by a hash of
+their key, and of these as many, in that order, as have SAMPLE_BYTES of text together (two at least). A document of the sample
+gives all its passages. Rows of one key are one document: the row with the least hash of its text. Fitting reads labels of
+rows with crc32(doc_id) mod 3 other than 1 only; label, lang, source and key are never inputs of a score.
 
 Defined cases: null and blank texts are one empty passage, and get a score like any other; several labels of a document
 count as their mean (0.5 or more: 1), null labels don't count; without labels of both classes every score is the share of
-label 1 (0.5 without any); repeated rows give repeated rows; an empty table gives an empty result.
+label 1 (0.5 without any); repeated rows give repeated rows; texts of any length are scored whole, in pieces of bounded size,
+which are cut within a word only where it alone is longer than a piece; an empty table gives an empty result. Extra columns
+are carried; one that is named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 from tidemark.llm.text_arrays import Pieces, mix, pieces, token_hashes
 
 #: Bounds of what is fitted on, and the network's sizes.
-SAMPLE, BAG, ROUNDS = 4000, 48, 250
+SAMPLE, SAMPLE_BYTES, ROUNDS = 4000, 32 << 20, 250
 WORDS, PAIRS, HIDDEN, GATE = 64, 48, 24, 12
 _KINDS = [
     lambda b: (b >= 65) & (b <= 90), lambda b: (b >= 97) & (b <= 122), lambda b: (b >= 48) & (b <= 57), lambda b: b == 32, lambda b: b == 10,
@@ -75,21 +78,17 @@ def _passages(own: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
 def encoded(texts: pa.Array):
     """(features, text numbers) in pieces."""
-    for own in pieces(texts):
+    for own in pieces(texts, cut_words=True):
         yield _passages(own)
 
 
 def _bags(batches):
     for batch in batches:
         own = list(encoded(batch.column(1)))
-        blobs = []
         x, of = (np.concatenate(p) for p in zip(*own, strict=True)) if own else (np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64))
-        for i in range(batch.num_rows):
-            bag = x[of == i]
-            if len(bag) > BAG:
-                bag = bag[np.linspace(0, len(bag) - 1, BAG).astype(int)]
-            blobs.append(bag.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["y", "bag"])
+        bound = np.searchsorted(of, np.arange(batch.num_rows + 1))  # texts come in order
+        blobs = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.large_binary()).cast(pa.binary())], names=["y", "bag"])
 
 
 class Network:
@@ -165,8 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The network fitted on the bounded sample of labelled documents that aren't held out."""
     own = labels.select(F.col(key).alias("lk"), F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("lk").isNotNull() & ~held_out(F.col("lk")))
     own = own.groupBy("lk").agg((F.avg("y") >= 0.5).cast("double").alias("y")).orderBy(F.xxhash64("lk"), "lk").limit(sample)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(own), F.col("k") == F.col("lk"))  # `sample` rows at most
-    rows = texts.select("y", "t").mapInArrow(_bags, "y double, bag binary").collect()
+    own = own.select("lk", "y", F.xxhash64("lk").alias("o"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(own), F.col("k") == F.col("lk"))  # `sample` rows at most
+    sizes = rows.groupBy("k", "o").agg(F.min(F.struct(F.xxhash64("t").alias("x"), F.coalesce(F.octet_length("t"), F.lit(0)).alias("b"))).alias("m"))
+    taken, total = [], 0
+    for r in sizes.select("k", "o", "m.b").orderBy("o", "k").collect():
+        total += r.b
+        if total > SAMPLE_BYTES and len(taken) > 1:
+            break
+        taken.append(r.k)
+    rows = rows.filter(F.col("k").isin(taken)) if taken else rows.filter("false")
+    # One row of a key: partial aggregation, so that a key with many rows meets no task whole.
+    rows = rows.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = rows.select("y", "t").mapInArrow(_bags, "y double, bag binary").collect()
     y = np.array([r.y for r in rows])
     if not len(y) or y.min() == y.max():
         return Network(float(y.mean()) if len(y) else 0.5)

@@ -68,16 +68,17 @@ class Pieces:
         return start, end, np.searchsorted(self.bounds, start, side="right") - 1
 
 
-def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[Pieces]:
-    """All of the texts (a string or binary array; null is empty), in order; long ones are cut at white space."""
+def pieces(texts: pa.Array, most: int = PIECE, cut_words: bool = False) -> Iterator[Pieces]:
+    """All of the texts (a string or binary array; null is empty), in order; long ones are cut at white space, or with
+    `cut_words` at twice `most` where there is none before."""
     held, size = [], 0
     for i, text in enumerate(texts.cast(pa.large_binary()).to_pylist()):
         text, at, begins = text or b"", 0, True
         while True:
             stop = len(text)
             if stop - at > most:
-                cut = _CUT.search(text, at + most)
-                stop = cut.end() if cut else stop
+                cut = _CUT.search(text, at + most, at + 2 * most) if cut_words else _CUT.search(text, at + most)
+                stop = cut.end() if cut else min(stop, at + 2 * most) if cut_words else stop
             held.append((text[at:stop], i, begins, stop == len(text)))
             size, at, begins = size + stop - at, stop, False
             if size >= most:
