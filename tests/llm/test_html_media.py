@@ -1,7 +1,15 @@
 import hashlib
+import math
+import time
 import zlib
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
-from tidemark.llm import op6_html, op9_media
+import pytest
+
+from tidemark.llm import markup, op6_html, op9_media
+
+DATA = "/root/testdata/sf0.001"
 
 
 def page(i, article, extra=""):
@@ -80,3 +88,127 @@ def test_media_are_stored_once(spark, monkeypatch):
     assert len(media) == len(dict(media)) == 4 and len(got) == len(texts) and resolved
     for r in got:
         assert op9_media.from_image(dict(media)[r.digest])[: r.n_bytes] == (texts[r.k] or "").encode()
+
+
+def test_names_count_as_whole_words_and_hidden_text_stays():
+    html = '<article><section class="related-work"><p>rw</p></section><p class="social-history">sh</p><p hidden>h</p><p style="display:none">d</p><svg>v</svg><p class="NOTICE x">no</p><p>end</p></article>'
+    assert op6_html.extract(html) == "rw\n\nsh\n\nh\n\nd\n\nv\n\nend"
+
+
+@pytest.mark.parametrize("html", ["<b>" * 16_000 + "</i>" * 16_000, "<b>" * 16_000 + "<h1></h1>" * 16_000, "<ul>" + "<b>" * 16_000 + "<li>" * 16_000, '<div class="ad">' * 16_000, '<div class="nav">' * 4000 + "<article>x" * 4000])
+def test_broken_pages_take_linear_time(html):
+    start = time.perf_counter()
+    markup.parse(html)
+    assert time.perf_counter() - start < 1
+    op6_html.extract(html)
+    assert time.perf_counter() - start < 3
+
+
+class Subtrees(HTMLParser):
+    """The serialised subtrees of a well-formed page by the standard library's parser: a brute-force view of what recurs."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.found = [["", []]], []
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        self.open.append([f"<{tag} {own.get('class') or ''} {own.get('id') or ''}>", []])
+        if tag in markup.VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        name, parts = self.open.pop()
+        whole = name + "|".join(parts) + "/"
+        self.found.append(whole)
+        self.open[-1][1].append(whole)
+
+    def handle_data(self, text):
+        if text.split():
+            self.open[-1][1].append(" ".join(text.split()))
+
+
+def test_templates_by_brute_force(spark):
+    rows = []
+    for i in range(400):
+        host = "hot" if i % 3 else f"h{i % 7}"
+        strap = f'<div id="s"><span>strap {i % 90}</span><img></div>'  # on a few pages of the hot host each
+        rows.append((i, f"http://{host}/x", f"<body><div>menu {host}</div>{strap}<article><p>text {i % 350}</p><div>also {i % 40}</div></article></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen, of = defaultdict(set), {}
+    for i, url, html in rows:
+        view = Subtrees()
+        view.feed(html)
+        article = html.split("<p>")[1].split("</p>")[0], html.split("<article>")[1]
+        of[i] = [x for x in view.found if not x.startswith(("<body", "<article", "<p"))]
+        for x in of[i]:
+            seen[url, x].add(article)
+    want = {i: len({x for x in of[i] if len(seen[url, x]) >= op6_html.RECURS}) for i, url, _ in rows}
+    found = op6_html.subtrees(pages)
+    number = {r.page: r.page_id for r in pages.select("page_id", op6_html.F.xxhash64("page_id", "url", "html").alias("page")).collect()}
+    got = {number[r.page]: len(r.templates) for r in op6_html.page_templates(found).collect()}
+    assert got == {i: n for i, n in want.items() if n} and len(got) == 400
+    texts = {r.page_id: r.text for r in op6_html.main_text(pages).collect()}
+    for i, url, _ in rows:
+        also = f"<div  >also {i % 40}/"
+        assert texts[i] == f"text {i % 350}" + ("" if len(seen[url, also]) >= op6_html.RECURS else f"\n\nalso {i % 40}")
+
+
+def test_pages_of_documents_against_a_plain_reading(spark):
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.line, self.out = False, [], []
+
+        def flush(self):
+            text = " ".join("".join(self.line).split())
+            self.line.clear()
+            self.out += [text] if text else []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in markup.BLOCK:
+                self.flush()
+            elif tag == "br":
+                self.line.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in markup.BLOCK:
+                self.flush()
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, text):
+            if self.inside:
+                self.line.append(text)
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r.text for r in op6_html.op6_html(spark, DATA).collect()}
+    for r in pages.collect():
+        view = Article()
+        view.feed(r.html)
+        view.flush()
+        assert got[r.page_id] == "\n\n".join(view.out)
+
+
+def test_a_corrupted_medium_is_seen(spark):
+    good = op9_media.to_image(op9_media.padded(b"some bytes"))
+    for media, fine in ((good, True), (good[:-1] + b"x", False)):
+        table = spark.createDataFrame([(hashlib.sha256(good).hexdigest(), media)], "digest string, media binary")
+        if fine:
+            assert op9_media.read_back(table).count() == 1
+        else:
+            with pytest.raises(Exception, match="read back as"):
+                op9_media.read_back(table).collect()
+
+
+def test_feature_by_brute_force():
+    for data in (b"", b"a", bytes(range(256)) * 3, "é text".encode() * 50):
+        samples = op9_media.padded(data)
+        n, counts = len(samples), Counter(samples)
+        mean = sum(samples) / n
+        std = math.sqrt(max(0.0, sum(x * x for x in samples) / n - mean * mean))
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) + 0.0
+        bands = [sum(c for x, c in counts.items() if x // 32 == b) / n for b in range(8)]
+        head, _, tail = op9_media.feature(samples).partition(";bands=")
+        got = [float(x.split("=")[1]) for x in head.split(";")] + [float(x) for x in tail.split(",")]
+        assert got == pytest.approx([mean, std, entropy, *bands], abs=6e-5)

@@ -36,9 +36,30 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)}
 
 
+class _Open:
+    """The path of open elements, with the number of them by tag, so that a tag that isn't open costs no search."""
+
+    def __init__(self, root: Element):
+        self.node, self.count = root, {}
+
+    def push(self, own: Element) -> None:
+        self.node = own
+        self.count[own.tag] = self.count.get(own.tag, 0) + 1
+
+    def up_to(self, target: Element) -> None:
+        """Ends the elements below target."""
+        while self.node is not target:
+            self.count[self.node.tag] -= 1
+            self.node = self.node.parent
+
+    def has(self, tags) -> int:
+        return sum(self.count.get(t, 0) for t in tags)
+
+
 def parse(source: str | None) -> Element:
     """The tree of a page; a root element without a tag. Broken markup is read as far as it makes sense."""
-    root = node = Element("", {}, None)
+    root = Element("", {}, None)
+    path = _Open(root)
     source = source or ""
     # Behind the last > there can be no tag, so that none is searched for there; what begins one is dropped.
     end = source.rfind(">") + 1
@@ -47,52 +68,54 @@ def parse(source: str | None) -> Element:
     while at < end:
         m = _TOKEN.search(source, at)
         if not m:
-            node.children.append(html.unescape(source[at:]))
+            path.node.children.append(html.unescape(source[at:]))
             break
         if m.start() > at:
-            node.children.append(html.unescape(source[at : m.start()]))
+            path.node.children.append(html.unescape(source[at : m.start()]))
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            target = node
-            while target.parent and target.tag != tag:
-                target = target.parent
-            if target.parent:
-                node = target.parent
+            if path.has((tag,)):
+                target = path.node
+                while target.tag != tag:
+                    target = target.parent
+                path.up_to(target.parent)
             continue
-        node = _implied(node, tag)
-        own = Element(tag, attributes(m[3] or m[6] or ""), node)
-        node.children.append(own)
+        _implied(path, tag)
+        own = Element(tag, attributes(m[3] or m[6] or ""), path.node)
+        path.node.children.append(own)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             stop = close.start() if close else end
             own.children.append(source[at:stop] if tag in ("script", "style") else html.unescape(source[at:stop]))
             at = close.end() if close else end
         elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
-            node = own
+            path.push(own)
     return root
 
 
-def _implied(node: Element, tag: str) -> Element:
-    """Where an opening tag goes, after the end tags that it implies."""
-    if tag in _PROSE_END:
-        up = node
+def _implied(path: _Open, tag: str) -> None:
+    """Ends what the opening tag ends."""
+    if tag in _PROSE_END and path.has("p"):
+        up = path.node
         while up.parent and up.tag not in _BOUNDS and up.tag not in ("li", "td", "th", "dd", "blockquote", "figure"):
             if up.tag == "p":
-                node = up.parent
+                path.up_to(up.parent)
                 break
             up = up.parent
     ends = _ENDS.get(tag)
-    if ends:
-        up = node
-        while up.parent and up.tag not in _BOUNDS:
+    left = path.has(ends) if ends else 0
+    if left:
+        up, target = path.node, None
+        while left and up.parent and up.tag not in _BOUNDS:
             if up.tag in ends:
-                node = up.parent
+                target, left = up.parent, left - 1
             up = up.parent
-    return node
+        if target is not None:
+            path.up_to(target)
 
 
 def walk(root: Element):

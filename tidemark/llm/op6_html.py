@@ -1,53 +1,54 @@
 """Main text of web pages: site templates are removed by counting hashed element subtrees by host.
 
 Pass 1 parses every page and hashes the subtree of each element (tag, class, id and the white-space-normal text and subtrees
-below, the hash being that of the content, wherever it stands). Spark counts by host in how many pages with different
-articles a subtree occurs: copies of one page count once, so they don't turn their own article into a template. A subtree
-that recurs in at least RECURS pages and SHARE of the host's pages is a template; a host has at most its mean number of
-subtrees a page / SHARE of them, so they fit one row. Pass 2 parses the pages again beside their host's templates, deletes
-those subtrees and what the markup itself names as menus, headers, adverts, forms and the like, and joins the blocks left.
-
-Within an article element, running text (paragraphs, headings, quotes) is the author's even where it recurs, so templates
-there are only other elements. Pages without one are cut by templates throughout.
-
-Defined cases: null and empty html give the empty text; a null or odd url has the host ''; repeated rows give repeated rows;
-an empty table gives an empty result; broken markup is read as far as it goes. Extra columns are not carried.
+below, the hash being that of the content, wherever it stands), within the article or not. Spark counts by host in how many
+pages with different articles a subtree occurs: copies of one page count once, so they don't turn their own article into a
+template. A subtree that recurs in at least RECURS pages of its host is a template, however large the host. Templates are
+joined to the pages that have them by host and hash. Pass 2 parses the pages again and deletes their templates first. What
+stands in fewer pages than that no count can tell from an article, so what its own markup names (tag, role or a whole word of
+its class or id) as one of the kinds of block that aren't main text is deleted after that; the blocks left are joined.
+
+Within an article element, running text (paragraphs, headings, quotes and what is within a line) is the author's even where it
+recurs, so templates there are only other elements. Pages without an article element are cut by templates throughout.
+
+Defined cases: null and empty html give the empty text; a null or odd url has the host ''; rows equal in key, url and html are
+alike, and each gives its row; a null key is a key like others; subtrees that recur equally often are templates alike; pages of
+any length are parsed whole, in linear time; an empty table gives an empty result; broken markup is read as far as it goes.
+Extra columns are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.markup import BLOCK, Element, parse, walk
-from tidemark.llm.shared import written
+from tidemark.llm.shared import spread_join, written
 
-RECURS, SHARE = 3, 0.1
-#: What the markup itself names as not being the article (fixed word lists).
-DROP_TAGS = frozenset("head title script style noscript template nav footer aside form button select option input textarea iframe object embed canvas svg dialog menu datalist audio video map".split())
+RECURS = 3
+#: Tags, roles and words of class and id that name menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+#: and reader comments (fixed word lists). A word counts as a whole: "related-work" isn't "related".
+DROP_TAGS = frozenset("head title script style noscript template nav footer aside form button select option input textarea datalist iframe menu".split())
 DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
-    "social comment comments comment-list reply replies disqus respond related recommended footer masthead toolbar pagination pager skip widget print-only copyright".split()
+    "menu nav navbar navigation main-menu main-nav site-nav breadcrumb breadcrumbs masthead site-header page-header footer site-footer page-footer sidebar side-bar "
+    "notice notices cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr banner "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense ad-banner ad-slot ad-container sponsor sponsored promo promotion promoted "
+    "newsletter newsletter-signup subscribe subscription search-form login signup share sharing share-buttons social-share social-links "
+    "comment comments comment-list commentlist comments-area reader-comments user-comments replies disqus disqus_thread".split()
 )
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar form".split())
 MAIN_WORDS = frozenset("article articlebody post-content post-body entry-content article-body article-content story-body main-content".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th b i em strong a span code".split())
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
-_WORD = re.compile(r"[A-Za-z]+")
+NEVER = frozenset("head script style template".split())
 
 
 def _named(node: Element) -> set[str]:
-    """The words of class and id: each name, and its parts."""
-    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    if len(names) == 1:
-        return set()
-    whole = names.lower().split()
-    return set(whole) | {w.lower() for n in names.split() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", n))}
+    """The words of class and id."""
+    own = node.attributes
+    return set(f"{own.get('class', '')} {own.get('id', '')}".lower().split()) if "class" in own or "id" in own else set()
 
 
 def is_article(node: Element) -> bool:
@@ -59,50 +60,43 @@ def is_article(node: Element) -> bool:
 def _dropped(node: Element, in_article: bool, holders: set[int]) -> bool:
     """The markup says that this isn't article text. An element around the article isn't dropped for its names."""
     if node.tag in DROP_TAGS:
-        return id(node) not in holders or node.tag in ("head", "script", "style", "template")
+        return id(node) not in holders or node.tag in NEVER
     if id(node) in holders or node.tag in ("html", "body"):
         return False
-    if node.tag == "header" and not in_article:
-        return True
-    own = node.attributes
-    if "hidden" in own or own.get("aria-hidden") == "true" or own.get("role") in DROP_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
-        return True
-    return bool(_named(node) & DROP_WORDS)
+    return node.tag == "header" and not in_article or node.attributes.get("role") in DROP_ROLES or bool(_named(node) & DROP_WORDS)
 
 
 def articles(root: Element) -> tuple[list[Element], set[int]]:
     """(the outermost article elements, or main ones where there is none; ids of the elements around and of them)."""
-    found, depth, out = [], 0, []
+    around = {id(root)}  # the elements that hold an article or main element
+    for node, begins in walk(root):
+        if begins and node.tag in ("article", "main") and is_article(node):
+            up = node
+            while id(up) not in around:
+                around.add(id(up))
+                up = up.parent
+    found, depth = [], 0
     for node, begins in walk(root):
         if begins is None:
             continue
-        if begins:
-            if depth or out:
-                depth += 1
-            elif node.tag in DROP_TAGS or (_named(node) & DROP_WORDS and not is_article(node) and node.tag not in ("html", "body") and not _contains_article(node)):
-                out.append(node)
-                depth = 1
-            elif is_article(node):
-                found.append(node)
-                out.append(node)
-                depth = 1
+        if not begins:
+            depth -= depth > 0
         elif depth:
-            depth -= 1
-            if not depth:
-                out.clear()
+            depth += 1
+        elif is_article(node):
+            found.append(node)
+            depth = 1
+        elif node.tag in DROP_TAGS or node.tag not in ("html", "body") and id(node) not in around and _named(node) & DROP_WORDS:
+            depth = 1
     holders = set()
     for node in found:
         up = node
-        while up is not None:
+        while up is not None and id(up) not in holders:
             holders.add(id(up))
             up = up.parent
     return found, holders
 
 
-def _contains_article(node: Element) -> bool:
-    return any(begins and n.tag in ("article", "main") and is_article(n) for n, begins in walk(node))
-
-
 def subtree_hashes(root: Element) -> dict[int, int]:
     """id of each element: the hash of its subtree."""
     hashes: dict[int, int] = {}
@@ -181,45 +175,56 @@ def extract(source: str | None, templates=frozenset()) -> str:
 
 def _counted(batches):
     for batch in batches:
-        hosts, contents, hashes = [], [], []
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        contents, hashes = [], []
+        for source in batch.column(2).to_pylist():
             content, own = _candidates(parse(source))
-            hosts.append(host)
             contents.append(content)
             hashes.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["page", "host", "content", "hashes"])
 
 
 def _extracted(batches):
     for batch in batches:
-        texts, sets = [], {}
-        for source, own in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True):
-            key = tuple(own or ())
-            texts.append(extract(source, sets.setdefault(key, frozenset(key))))
-        rest = [batch.column(i) for i in range(batch.num_columns - 2)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], names=[*batch.schema.names[:-2], "text"])
+        texts = [extract(source, frozenset(own or ())) for source, own in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["k", "url", "text"])
 
 
 def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract(F.col(url), HOST, 1), F.lit(""))))
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", recurs: int = RECURS, share: float = SHARE) -> DataFrame:
-    """host and templates (the hashes of its recurring subtrees), for hosts that have any."""
-    own = with_host(pages.select(F.col(url).alias("url"), F.col(html).alias("html"))).select("host", "html")
-    pages_ = written(own.mapInArrow(_counted, "host string, content long, hashes array<long>"), "subtrees")
-    contents = pages_.groupBy("host", "content").agg(F.count(F.lit(1)).alias("n"))
-    per_host = contents.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages_.select("host", "content", F.explode("hashes").alias("h")).distinct()
-    counted = written(seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")), "subtree-counts")
-    often = counted.filter(F.col("n") >= recurs).join(written(per_host, "hosts"), "host").filter(F.col("n") >= F.col("pages") * share)
-    return written(often.groupBy("host").agg(F.array_sort(F.collect_set("h")).alias("templates")), "templates")
+def _page_number():
+    return F.xxhash64("k", "url", "html")
+
+
+def subtrees(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page (a hash of the row), host, content (a hash of the text without templates) and hashes (of its subtrees)."""
+    own = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    own = with_host(own).select(_page_number().alias("page"), "host", "html")
+    return own.mapInArrow(_counted, "page long, host string, content long, hashes array<long>")
+
+
+def site_templates(found: DataFrame, recurs: int = RECURS) -> DataFrame:
+    """host and h of the subtrees that stand in `recurs` pages of the host that differ in their articles."""
+    seen = found.select("host", "content", F.explode("hashes").alias("h")).distinct()
+    return seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= recurs).select("host", "h")
+
+
+def page_templates(found: DataFrame, recurs: int = RECURS) -> DataFrame:
+    """page and templates (the hashes of its subtrees that are templates of its host), for pages that have any."""
+    known = site_templates(found, recurs).select(F.xxhash64("host", "h").alias("hh"), F.col("h").alias("t"), F.col("host").alias("th"))
+    # Host and hash are one key, which a hot host's menu may hold many of.
+    each = found.select("page", "host", F.explode("hashes").alias("h")).withColumn("hh", F.xxhash64("host", "h"))
+    met = spread_join(each, written(known, "site-templates"), "hh", "inner").filter((F.col("h") == F.col("t")) & (F.col("host") == F.col("th")))
+    return met.groupBy("page").agg(F.array_sort(F.collect_set("h")).alias("templates"))  # at most a page's subtrees
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", recurs: int = RECURS) -> DataFrame:
     """key, url and text of every page."""
-    own = with_host(pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(html).alias("html")))
-    held = own.join(site_templates(pages, url, html), "host", "left").select("k", "url", "html", "templates")
+    found = written(subtrees(pages, key, url, html), "subtrees")
+    templates = written(page_templates(found, recurs), "page-templates")
+    own = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).withColumn("page", _page_number())
+    held = spread_join(own, templates, "page").select("k", "url", "html", "templates")
     kind = held.schema["k"].dataType.simpleString()
     return held.mapInArrow(_extracted, f"k {kind}, url string, text string").select(F.col("k").alias(key), F.col("url").alias(url), "text")
 

@@ -7,8 +7,14 @@ documents share is stored and read once, and positions and captions stay with th
 Any bytes can be a medium: they are padded with zeros to a positive multiple of 64 and stored as a binary grey-scale image
 (PGM, "P5") of 64 samples a row, one 8-bit sample a byte, which is lossless.
 
+A document's text becomes a page with one reference, to the stored form of its bytes; the page's sequence is read from its
+HTML and its reference resolved, by digest, to what is read back from the media table on disk. A stored form whose bytes don't
+have the digest it is filed under is an error.
+
 Defined cases: null html and null text count as empty; a reference whose payload is missing resolves to nulls; repeated rows
-give repeated rows; equal payloads have equal digests, so ties can't arise; an empty table gives an empty result.
+and keys give repeated rows; equal payloads have equal digests and are one medium, so ties can't arise; a digest that most
+rows refer to is dealt over tasks; texts of any length are stored whole; an empty table gives an empty result. Extra columns
+are not carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.markup import BLOCK, RAW, parse, walk
-from tidemark.llm.shared import written
+from tidemark.llm.shared import spread_join, written
 
 UNIT = 64
 SCHEME = "sha256:"
@@ -78,16 +84,20 @@ def _read_back(batches):
     for batch in batches:
         rest = [batch.column(i) for i in range(batch.num_columns - 1)]
         rows = []
-        for media in batch.column(batch.num_columns - 1).to_pylist():
+        for digest, media in zip(batch.column("digest").to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            found = hashlib.sha256(media).hexdigest()
+            if found != digest:
+                raise ValueError(f"stored under {digest}, read back as {found}")
             samples = from_image(media)
-            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+            rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), found, feature(samples)))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names[:-1], "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """The frame with its last column, the stored form, read back and replaced by features of what was read."""
+    """The frame (with a column digest) with its last column, the stored form, read back and replaced by features of what was
+    read."""
     front = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in media.schema.fields[:-1])
     return media.mapInArrow(_read_back, f"{front}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
@@ -170,7 +180,7 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     """
     flat = items.select("k", F.explode("items").alias("i")).select("k", "i.*")
     text = flat.filter("digest is null")
-    found = flat.filter("digest is not null").join(media, "digest", "left")
+    found = spread_join(flat.filter("digest is not null"), media, "digest")
     return text.unionByName(found, allowMissingColumns=True)
 
 
@@ -202,13 +212,18 @@ def media_table(rows: DataFrame, content: str, refs: DataFrame) -> DataFrame:
     return written(alone.unionByName(several.dropDuplicates(["digest"])), "media")
 
 
+def reference_page(digest: str = "digest"):
+    """HTML of a page that refers to one medium."""
+    return F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col(digest), F.lit('"></figure>'))
+
+
 def document_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document as a sequence of one reference to its stored text, resolved by digest to what is read back from the
     media table."""
     refs = written(stored(docs, key, text).drop("media"), "references")
     features = written(read_back(media_table(docs, text, refs)), "features")
-    item = F.struct(F.lit(0).alias("position"), F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), "digest", F.lit(None).cast("string").alias("caption"))
-    found = resolve(refs.select(F.struct("k", "n_bytes").alias("k"), F.array(item).alias("items")), features)
+    pages = refs.select(F.struct("k", "n_bytes").alias("k"), reference_page().alias("html"))
+    found = resolve(written(sequences(pages, "k", "html"), "sequences"), features)
     return found.select("k.k", "k.n_bytes", *(c for c in found.columns if c != "k"))
 
 
