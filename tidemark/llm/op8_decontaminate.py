@@ -1,18 +1,26 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Items and documents are sets of shingles of five words (A-Z lower-cased; an item or document with fewer words is one
-shingle). A document holds an item if it contains at least 0.8 of the item's shingles. Plain MinHash estimates of the Jaccard
-similarity can't find a short item in a long document, where that similarity is near zero. So each item is sketched by its
-bottom-k MinHash values with k chosen by its size partition: among n shingles, n - ceil(0.8 n) + 1 of them can't all be
-missing from a document that holds the item. A document is a candidate if one of its shingles' hashes is in a sketch; no
-holding document is lost. Candidates are verified by the exact share of the item's shingles in the document.
+shingle). A document holds an item if it contains at least 0.8 of the item's shingles. Estimates of the Jaccard similarity
+can't find a short item in a long document, where that similarity is near zero, so both sides have sketches for containment:
 
-Document shingles are exploded and probed against the sketches in one pass without a shuffle while the sketches are small
-(their size is known from the table they are written to, and Spark's broadcast threshold applies); larger ones are shuffled.
+* Items are partitioned by size (the power of two below their number n of shingles). An item's sketch is its k least hash
+  values; among n shingles, k = n - ceil(0.8 n) + 1 of them can't all be missing from a document that holds the item. The
+  size partition fixes k, and with it a bound: the largest value in any sketch of the partition.
+* A document's sketch for a partition is all of its hash values up to that bound (its least ones, as many as its length
+  makes them), so whatever it shares with an item's sketch is in its own.
+
+A document is a candidate for an item if their sketches share a value: no holding document is lost. Candidates are verified by
+the exact share of the item's shingles in the document, counted by a join on the shingles' text.
+
+Sketches and the shingles of candidates' items are sent to the tasks while their tables are below Spark's broadcast threshold,
+and shuffled beyond it, with the same result. Values that many documents hold are left to AQE's splitting of skewed joins.
 
 Defined cases: null and blank texts have no shingles, so they are in no pair; documents shorter than five words only match
-items that are equal to them; repeated rows of a document count as one, the largest containment being kept; items with the
-same item_id count as one item per row and are reported once, with the largest containment; empty tables give no pairs.
+items that are equal to them, and so do items; rows of a document with the same text count as one, with different texts each
+for itself, and the pair is reported once, with the largest containment; so are rows of one item_id; null keys are keys like
+others; a text of any length is read whole, in linear time; empty tables give no pairs. Extra columns of the inputs are not
+carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -38,9 +46,9 @@ def shingles(w: Column, width: int = WIDTH) -> Column:
 
 
 def sketches(items: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
-    """Columns item (the row's key), n (shingles), part (the size partition), sh (shingles) and sketch (bottom-k hashes)."""
-    rows = with_words(items.select(F.col(key).alias("item"), F.col(text).alias("t")), "t").filter(F.size("w") > 0)
-    rows = rows.select("item", F.array_distinct(shingles(F.col("w"))).alias("sh"))
+    """Columns item (the row's key), i (a number of the row), n (shingles), part (the size partition), sh (shingles) and sketch (bottom-k hashes)."""
+    rows = with_words(items.select(F.col(key).alias("item"), F.col(text).cast("string").alias("t")), "t").filter(F.size("w") > 0)
+    rows = rows.select("item", F.xxhash64("item", "t").alias("i"), F.array_distinct(shingles(F.col("w"))).alias("sh"))
     rows = rows.withColumn("n", F.size("sh")).withColumn("part", F.floor(F.log2("n")).cast("int"))
     # The largest item of a partition fixes its k; smaller ones need no more.
     top = F.expr("shiftleft(1, part + 1) - 1")
@@ -49,28 +57,50 @@ def sketches(items: DataFrame, key: str, text: str, least: float = LEAST) -> Dat
     return rows.withColumn("sketch", F.slice(hashes, F.lit(1), k.cast("int")))
 
 
-def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
-    """Pairs (key, item, n_shingles, n_found, containment) with a containment of `least` or more."""
+def bounds(known: DataFrame) -> DataFrame:
+    """part and bound (the largest hash in a sketch of the partition): a row for each power of two, 31 at most."""
+    return known.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("bound"))
+
+
+def document_sketches(docs: DataFrame, key: str, text: str, bound: int) -> DataFrame:
+    """d (key k and the text's hash x) and h: the document's distinct hash values up to the largest partition's bound, which
+    hold its sketches of all partitions."""
+    own = with_words(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), "t")
+    own = own.select(F.struct("k", F.xxhash64("t").alias("x")).alias("d"), F.transform(shingles(F.col("w")), lambda s: F.xxhash64(s)).alias("h"))
+    return own.select("d", F.explode(F.array_distinct(F.filter("h", lambda h: h <= F.lit(bound)))).alias("h"))
+
+
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+    """k, x (of the document's row: key and xxhash64 of the text), item, n (shingles) and f (those found) of every pair of rows
+    with a containment of `least` or more."""
     known = written(sketches(items, item_key, item_text, least), "items")
-    probes = written(known.select(F.explode("sketch").alias("h")).distinct(), "sketch")
-    own = with_words(docs.select(F.col(key).alias("d"), F.col(text).alias("t")), "t").select("d", "w")
-    hashed = own.select("d", F.explode(F.transform(shingles(F.col("w")), lambda s: F.xxhash64(s))).alias("h"))
-    hits = hashed.join(probes, "h").distinct()
-    pairs = hits.join(known.select("item", F.explode("sketch").alias("h")), "h").select("d", "item").distinct()
-    pairs = written(pairs, "candidates")
+    bound = bounds(known).agg(F.max("bound")).first()[0]
+    index = written(known.select("i", F.explode("sketch").alias("h")).distinct(), "sketch")
+    found = document_sketches(docs, key, text, bound if bound is not None else -(1 << 63))
+    pairs = written(found.join(index, "h").select("d", "i").distinct(), "candidates")
     return _verified(docs, known, pairs, key, text, least)
 
 
 def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    wanted = pairs.select("d").distinct()
-    own = docs.select(F.col(key).alias("d"), F.col(text).alias("t"))
-    held = with_words(own.join(wanted, own["d"].eqNullSafe(wanted["d"]), "left_semi"), "t").select("d", shingles(F.col("w")).alias("ds"))
-    rows = held.join(pairs.withColumnRenamed("d", "pd"), F.col("d").eqNullSafe(F.col("pd"))).drop("pd")
-    rows = rows.join(known.select("item", "n", "sh"), "item")
-    found = rows.select("d", "item", "n", F.size(F.array_intersect("sh", "ds")).alias("f"))
-    best = found.withColumn("c", F.col("f") / F.col("n")).filter(F.col("c") >= least - 1e-12)
-    best = best.groupBy("d", "item").agg(F.max(F.struct("c", "f", "n")).alias("b"))
-    return best.select(F.col("d").alias(key), F.col("item").alias("item_id"), F.col("b.n").cast("long").alias("n_shingles"), F.col("b.f").cast("long").alias("n_found"), F.col("b.c").alias("containment"))
+    wanted = pairs.select(F.col("d.k").alias("wk"), F.col("d.x").alias("wx")).distinct()
+    own = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).withColumn("x", F.xxhash64("t"))
+    held = with_words(own.join(wanted, (F.col("x") == F.col("wx")) & F.col("k").eqNullSafe(F.col("wk")), "left_semi"), "t")
+    held = held.select(F.struct("k", "x").alias("d"), F.explode(F.array_distinct(shingles(F.col("w")))).alias("s"))
+    asked = known.join(pairs.select("i").distinct(), "i", "left_semi")
+    both = held.join(written(asked.select("i", F.explode("sh").alias("s")).distinct(), "asked"), "s")
+    both = both.select(F.col("d.k").alias("k"), F.col("d.x").alias("x"), "i", F.xxhash64("s").alias("s")).repartition("k", "x", "i")
+    counted = both.groupBy("k", "x", "i").agg(F.count_distinct("s").alias("f"))  # over equal rows too
+    rows = counted.join(known.select("i", "item", "n").distinct(), "i").filter(F.col("f") / F.col("n") >= least - 1e-12)
+    # What the sketches didn't find is no match; by the choice of k there is none of it.
+    near = pairs.select(F.col("d.k").alias("pk"), F.col("d.x").alias("px"), F.col("i").alias("pi"))
+    return rows.join(near, (F.col("i") == F.col("pi")) & (F.col("x") == F.col("px")) & F.col("k").eqNullSafe(F.col("pk")), "left_semi").select("k", "x", "item", "n", "f")
+
+
+def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+    """Pairs (key, item, n_shingles, n_found, containment) with a containment of `least` or more."""
+    found = matches(docs, items, key, text, item_key, item_text, least).withColumn("c", F.col("f") / F.col("n"))
+    best = found.groupBy("k", "item").agg(F.max(F.struct("c", "f", "n")).alias("b"))
+    return best.select(F.col("k").alias(key), F.col("item").alias("item_id"), F.col("b.n").cast("long").alias("n_shingles"), F.col("b.f").cast("long").alias("n_found"), F.col("b.c").alias("containment"))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
