@@ -5,9 +5,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tests.llm.test_simhash import closure, plain
 from tidemark.llm import op3_quality, op5_mixing, op8_decontaminate, op10_sharding
 
 DATA = "/root/testdata/sf0.001"
@@ -30,20 +30,6 @@ def test_quality(spark, docs):
     assert {r.doc_id for r in out.collect()} == {k for k, s in scores.items() if s >= 0.5}
 
 
-def test_near_duplicates(spark, docs):
-    out = cp.near_duplicates(spark, docs, DATA)
-    rows = [(r.doc_id, plain(r.text)) for r in docs.collect()]
-    assert sorted(r.doc_id for r in out.collect()) == sorted(k for (k, _), c in zip(rows, closure(rows), strict=True) if k == c)
-    assert out.columns == docs.columns and out.count() < docs.count()
-
-
-def test_near_duplicates_of_odd_rows(spark, docs):
-    long = " ".join(f"w{i}" for i in range(200))
-    rows = [(5, long, "en", "a", 1), (5, long, "en", "a", 1), (3, long.upper(), "en", "b", 1), (None, "", None, None, None), (None, None, "en", None, 0), (9, "alone here now", None, "c", 3)]
-    out = cp.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), DATA).collect()
-    assert Counter(r.doc_id for r in out) == Counter({3: 1, None: 1, 9: 1})
-
-
 def test_decontamination(spark, docs):
     items = [shingle_set(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     want = {r.doc_id for r in docs.collect() if not any(s and len(s & shingle_set(r.text)) >= 0.8 * len(s) - 1e-9 for s in items)}
@@ -118,9 +104,8 @@ def test_sharding(spark, docs):
                 assert sum(n for m, n in total.items() if m.startswith(parent)) > limit
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
-    want = {(r[0], r[1]) for r in con.sql(f"select doc_id, shard_id from ({op10_sharding.oracle(20_000, 30)})").fetchall()}
-    got = {(r.doc_id, r.shard_id) for r in op10_sharding.shard(docs, 20_000).collect() if len(r.shard_id) <= 24}
-    assert got and got <= want
+    want = {(r[0], r[1]) for r in con.sql(f"select doc_id, shard_id from ({op10_sharding.oracle(20_000)})").fetchall()}
+    assert {(r.doc_id, r.shard_id) for r in op10_sharding.shard(docs, 20_000).collect()} == want
 
 
 def test_sharding_of_equal_rows(spark):
@@ -133,6 +118,67 @@ def test_sharding_of_equal_rows(spark):
     assert op10_sharding.shard(frame.limit(0), 40).count() == 0
 
 
+def test_sharding_either_way_and_any_column_names(spark, docs, monkeypatch):
+    named = docs.limit(60).select("*", *(F.lit(1).alias(c) for c in ("cell", "start", "n", "t", "d", "prefix", "shard_depth", "__task", "__rank", "__page")))
+    want = sorted((r.doc_id, r.shard_id, r.shard_bytes) for r in op10_sharding.shard(named, 5000).collect())
+    assert len(want) == 60 and op10_sharding.shard(named, 5000).columns[-3:] == ["shard_id", "shard_depth", "shard_bytes"]
+    monkeypatch.setattr(op10_sharding, "SENT", 0)
+    assert sorted((r.doc_id, r.shard_id, r.shard_bytes) for r in op10_sharding.shard(named, 5000).collect()) == want
+    with pytest.raises(ValueError, match="own names"):
+        op10_sharding.shard(docs.withColumn("__shard_h", F.lit(1)))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars int"
+CLASH = ("__k", "__x", "__own", "__n", "__rows", "__copy", "__quality", "__salt", "k", "x", "c", "m", "row", "score", "item", "h", "t", "w")
+
+
+def odd_rows(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(None, a, "en", "web", 1), (None, b, "de", None, None), (None, f"{c} {item} {c}", "en", "web", 2), (7, c, None, "web", 3), (7, f"{b} but {a}", "en", "web", 3), (8, None, None, None, None), (None, "", "en", "web", 0), (9, a, "fr", "x", 4), (9, a, "fr", "x", 4)]
+    return rows, spark.createDataFrame(rows, ODD)
+
+
+def test_stages_decide_by_row(spark):
+    rows, docs = odd_rows(spark)
+    clean = [r for r in rows if r[1] != rows[2][1]]
+    got = cp.decontamination(spark, docs, DATA).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, clean))
+    kept = Counter((r.doc_id, r.text) for r in cp.copies(spark, docs, DATA).collect())
+    assert kept == Counter([(None, rows[1][1]), (None, rows[2][1]), (7, rows[3][1]), (7, rows[4][1]), (8, None), (9, rows[0][1])])
+    drawn = Counter((r.doc_id, r.text) for r in cp.mixing(spark, docs, DATA).collect())
+    assert drawn and all(n <= 2 and (k, t) in {(r[0], r[1]) for r in rows} for (k, t), n in drawn.items())
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in cp.STAGES])
+def test_stages_of_empty_tables_and_clashing_columns(spark, stage):
+    run = dict(cp.STAGES)[stage]
+    rows, docs = odd_rows(spark)
+    assert run(spark, docs.limit(0), DATA).count() == 0
+    named = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASH)))
+    out = run(spark, named, DATA)
+    assert [c for c in out.columns if not c.startswith("shard_")] == named.columns
+    plain, got = (Counter((r.doc_id, r.text) for r in x.collect()) for x in (run(spark, docs, DATA), out))
+    assert plain == got and all(r[c] == i for r in out.collect() for i, c in enumerate(CLASH))
+
+
+def test_run_against_the_stages_by_brute_force(spark, docs):
+    from tests.llm.test_near_copies import groups
+
+    scores = {r.doc_id: r.score for r in op3_quality.op3_quality(spark, DATA).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id] >= 0.5)
+    least = {}
+    for (k, _), g in zip(rows, groups([t for _, t in rows]), strict=True):
+        least.setdefault(g, k)
+    items = [shingle_set(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    kept = [k for k, t in rows if k in set(least.values()) and not any(s and len(s & shingle_set(t)) >= 0.8 * len(s) - 1e-9 for s in items)]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet' where doc_id in ({','.join(map(str, kept))})")
+    drawn = Counter({r[0]: r[1] for r in con.sql(f"select doc_id, copies + (take_tokens > copies * n_tokens)::int from ({op5_mixing.oracle(epochs=1)})").fetchall()})
+    out = cp.run(spark, DATA).collect()
+    assert Counter(r.doc_id for r in out) == drawn and {r.shard_id for r in out} == {"root"}
+
+
 def test_run(spark):
     out = cp.run(spark, DATA)
     assert {"doc_id", "text", "shard_id"} <= set(out.columns) and 0 < out.count() < 200
