@@ -82,7 +82,7 @@ def test_bins_like_pandas(spark, freq, closed):
     rng = random.Random(11)
     times = sorted(datetime(2024, 1, 27, 8, 10) + timedelta(minutes=rng.randint(0, 200_000 if freq not in ("13min", "1h") else 3000)) for _ in range(80)) + [datetime(2024, 7, 1), datetime(2024, 7, 1)][: 2 * (freq not in ("13min", "1h"))]
     if freq == "SMS" and closed == "right":
-        pytest.skip("pandas shifts the edges of this pair")
+        pytest.skip("pandas shifts the edges of this pair; see test_half_months_closed_right")
     df = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts timestamp_ntz, v long").repartition(3)
     got = bins(df, {"first": ("v", "first"), "last": ("v", "last"), "sum": ("v", "sum")}, TimeBins(freq, closed, "left"), "ts", seq=["v"]).orderBy("bin_label").collect()
     want = pd.DataFrame({"ts": times, "v": range(len(times))}).groupby(pd.Grouper(key="ts", freq=freq, closed=closed, label="left")).agg(first=("v", "first"), last=("v", "last"), sum=("v", "sum"), n=("v", "count")).reset_index()
@@ -92,25 +92,27 @@ def test_bins_like_pandas(spark, freq, closed):
     assert [(r.first, r.last, r.sum) for r in got] == [(None,) * 3 if r.n == 0 else (r.first, r.last, r.sum) for r in want.itertuples()]
 
 
-FLOORS = """2024-03-01|MS|2024-03-01|2024-04-01
-2024-03-31|MS|2024-03-01|2024-04-01
-2024-03-15 14:30|MS|2024-03-01|2024-04-01
-2024-03-15 14:30|ME|2024-02-29|2024-03-31
-2024-03-17 14:30|SMS|2024-03-15|2024-04-01
-2024-03-07 14:30|SMS|2024-03-01|2024-03-15
-2024-03-17 14:30|SME|2024-03-15|2024-03-31
-2024-03-07 14:30|SME|2024-02-29|2024-03-15
-2024-03-15 14:37:23|h|2024-03-15 14:00|2024-03-15 15:00
-2024-03-15 01:00|h|2024-03-15 01:00|2024-03-15 02:00
-2024-03-15 14:37:23|D|2024-03-15|2024-03-16
-2024-03-15 00:00|D|2024-03-15|2024-03-16"""
+#: Fixed values (FIXTURES.md): a time, a frequency, its floor and its ceiling.
+FLOORS = [
+    ("2024-03-01", "MS", "2024-03-01", "2024-04-01"),
+    ("2024-03-31", "MS", "2024-03-01", "2024-04-01"),
+    ("2024-03-15 14:30", "MS", "2024-03-01", "2024-04-01"),
+    ("2024-03-15 14:30", "ME", "2024-02-29", "2024-03-31"),
+    ("2024-03-17 14:30", "SMS", "2024-03-15", "2024-04-01"),
+    ("2024-03-07 14:30", "SMS", "2024-03-01", "2024-03-15"),
+    ("2024-03-17 14:30", "SME", "2024-03-15", "2024-03-31"),
+    ("2024-03-07 14:30", "SME", "2024-02-29", "2024-03-15"),
+    ("2024-03-15 14:37:23", "h", "2024-03-15 14:00", "2024-03-15 15:00"),
+    ("2024-03-15 01:00", "h", "2024-03-15 01:00", "2024-03-15 02:00"),
+    ("2024-03-15 14:37:23", "D", "2024-03-15", "2024-03-16"),
+    ("2024-03-15 00:00", "D", "2024-03-15", "2024-03-16"),
+]
 
 
 def test_floor_and_ceil(spark):
-    for line in FLOORS.splitlines():
-        ts, freq, low, high = line.split("|")
+    for ts, freq, low, high in FLOORS:
         row = spark.createDataFrame([(datetime.fromisoformat(ts),)], "t timestamp_ntz").select(floor_ts(F.col("t"), freq).alias("low"), ceil_ts(F.col("t"), freq).alias("high")).first()
-        assert (row.low, row.high) == (datetime.fromisoformat(low), datetime.fromisoformat(high)), line
+        assert (row.low, row.high) == (datetime.fromisoformat(low), datetime.fromisoformat(high)), (ts, freq)
         assert floor_value(datetime.fromisoformat(ts), freq) == row.low
     for wrong in ("", "x", "0h", "2q3"):
         with pytest.raises(ValueError):
@@ -191,3 +193,48 @@ def test_ordered_helpers(spark):
     rows = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 2), (2, None, 3), (2, None, 4)], "k int, s string, n int")
     assert sorted((r.k, r.s, r.n) for r in ordering.keep_last(rows, ["k", "s"], ["n"]).collect() if r.s) == [(1, "a", 1), (1, "b", 2)]
     assert ordering.keep_last(rows, [], ["n"]).count() == 5 and ordering.keep_last(rows, None, ["n"]) is rows
+
+
+def test_half_months_closed_right(spark):
+    """The rule: (start, end] between the 1st and the 15th; a time at an anchor belongs to the bin that it ends."""
+    times = [datetime(2024, 1, 1), datetime(2024, 1, 1, 1), datetime(2024, 1, 15), datetime(2024, 1, 15, 0, 1), datetime(2024, 2, 1), datetime(2024, 2, 2)]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts timestamp_ntz, v long")
+    got = bins(df, {"first": ("v", "first"), "last": ("v", "last")}, TimeBins("SMS", "right", "right"), "ts", seq=["v"]).orderBy("bin_label").collect()
+    want = [(datetime(2024, 1, 1), 0, 0), (datetime(2024, 1, 15), 1, 2), (datetime(2024, 2, 1), 3, 4), (datetime(2024, 2, 15), 5, 5)]
+    assert [(r.bin_label, r.first, r.last) for r in got] == want
+
+
+@pytest.mark.parametrize("origin", ["start", "end", "start_day", "end_day", "epoch"])
+@pytest.mark.parametrize("closed", ["left", "right"])
+def test_named_origins_like_pandas(spark, origin, closed):
+    rng = random.Random(4)
+    times = sorted(datetime(2024, 1, 27, 8, 10) + timedelta(minutes=rng.randint(0, 5000)) for _ in range(60))
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts timestamp_ntz, v long").repartition(3)
+    got = bins(df, {"sum": ("v", "sum")}, TimeBins("7h", closed, "left", origin=origin, offset="13min"), "ts", seq=["v"], empty=False).orderBy("bin_label").collect()
+    want = pd.DataFrame({"ts": times, "v": range(60)}).groupby(pd.Grouper(key="ts", freq="7h", closed=closed, label="left", origin=origin, offset="13min")).agg(sum=("v", "sum"), n=("v", "count")).reset_index()
+    want = want[want.n > 0]
+    assert [(r.bin_label, r.sum) for r in got] == [(x.ts.to_pydatetime(), x.sum) for x in want.itertuples(index=False)]
+
+
+@pytest.mark.parametrize("freq,first", [("MS", lambda t: t.replace(day=1)), ("W", lambda t: t - timedelta(days=(t.weekday() + 1) % 7))])
+def test_offset_moves_calendar_steps(spark, freq, first):
+    times = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(90)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    got = TimeBins(freq, "left", "left", offset="2D").assign(df, "ts").collect()
+    assert {r.ts: r.bin_label for r in got} == {t: first(t - timedelta(days=2)) + timedelta(days=2) for t in times}
+
+
+def test_next_mark_either_way(spark, monkeypatch):
+    rng = random.Random(6)
+    points = spark.createDataFrame([(i, rng.randint(0, 500), f"r{i}") for i in range(300)], "id long, x long, `odd.name` string").repartition(4)
+    marks = spark.createDataFrame([(m, f"m{m}") for m in sorted(rng.sample(range(450), 40))], "m long, label string")
+    for inclusive in (True, False):
+        found = []
+        for most in (50_000, 0):
+            monkeypatch.setattr(ordering, "SENT_MARKS", most)
+            rows = ordering.next_of(points, "x", marks, "m", inclusive, "next", ["label"]).collect()
+            found.append(sorted((r.id, r["odd.name"], r.next, r.label) for r in rows))
+        all_marks = [r.m for r in marks.collect()]
+        want = sorted((r.id, r["odd.name"], m := min((m for m in all_marks if m > r.x or inclusive and m == r.x), default=None), m if m is None else f"m{m}") for r in points.collect())
+        assert found[0] == found[1] == want
+    assert ordering.next_of(points, "x", marks.limit(0), "m", True, "next").filter("next is not null").count() == 0

@@ -103,20 +103,20 @@ def test_period_layout(spark, tmp_path):
         write(spark, str(tmp_path / "int"), "a", spark.range(3).withColumnRenamed("id", "a"), target="2h")
 
 
-T, N = True, False
+#: Fixed values (FIXTURES.md).
 REGIONS = [
-    ([N, T, T, N], [T, N, T, T], [T], 3, [(1, 3)]),
-    ([T, N, N, T, N, N, N, T, N], [N, N, N, N, T, N, T, N, N], [N, N], 3, [(0, 4), (7, 8)]),
-    ([T, N, N, T, N, N, N, T, N], [N, N, N, N, T, N, T, N, N], [N, T], 10, [(0, 1), (3, 4), (7, 9)]),
-    ([N, T, N, N], [T, T, N, T], [T], 3, [(1, 3)]),
-    ([T, N, T, N], [T, T, T, T], [T], 2, [(0, 1), (2, 3)]),
-    ([N, N, N, T], [N, N, N, N], [N], 1, [(0, 4)]),
-    ([T, N, N, N, T, N], [T, N, T, N, N, T], [T, N], 2, [(0, 2), (4, 5)]),
-    ([T, N, N, N, T], [T, N, T, N, N], [T, N], None, [(0, 1), (4, 5)]),
-    ([T, N, N, N, T], [N, N, T, N, N], [N, N], 1, [(0, 2), (3, 5)]),
-    ([T, N, N, N, N, T], [N, T, N, N, T, N], [N, N], 1, [(0, 1), (5, 6)]),
-    ([N, N], [N, N], [N], 1, [(0, 2)]),
-    ([N, N, N], [T, T, T], [], 1, []),
+    ([False, True, True, False], [True, False, True, True], [True], 3, [(1, 3)]),
+    ([True, False, False, True, False, False, False, True, False], [False, False, False, False, True, False, True, False, False], [False, False], 3, [(0, 4), (7, 8)]),
+    ([True, False, False, True, False, False, False, True, False], [False, False, False, False, True, False, True, False, False], [False, True], 10, [(0, 1), (3, 4), (7, 9)]),
+    ([False, True, False, False], [True, True, False, True], [True], 3, [(1, 3)]),
+    ([True, False, True, False], [True, True, True, True], [True], 2, [(0, 1), (2, 3)]),
+    ([False, False, False, True], [False, False, False, False], [False], 1, [(0, 4)]),
+    ([True, False, False, False, True, False], [True, False, True, False, False, True], [True, False], 2, [(0, 2), (4, 5)]),
+    ([True, False, False, False, True], [True, False, True, False, False], [True, False], None, [(0, 1), (4, 5)]),
+    ([True, False, False, False, True], [False, False, True, False, False], [False, False], 1, [(0, 2), (3, 5)]),
+    ([True, False, False, False, False, True], [False, True, False, False, True, False], [False, False], 1, [(0, 1), (5, 6)]),
+    ([False, False], [False, False], [False], 1, [(0, 2)]),
+    ([False, False, False], [True, True, True], [], 1, []),
 ]
 
 
@@ -130,7 +130,7 @@ def test_regions(new, on, fills, most, want):
 def test_on_target():
     rows, new = [90, 0, 50, 30, 120, 30], [0, 85, 40, 30, 0, 80]
     own = RowTarget([Slot(i, r, n, i, i) for i, (r, n) in enumerate(zip(rows, new, strict=True))], 100, True)
-    assert [own.on_target(i) for i in range(6)] == [T, T, T, N, N, T]
+    assert [own.on_target(i) for i in range(6)] == [True, True, True, False, False, True]
     slots = [Slot(0, 2, 0, 1, 2), Slot(1, 2, 0, 3, 4), Slot(None, 0, 2, 7, 8)]
     assert RowTarget(slots, 4, True).fills(0, 3) and not RowTarget(slots, 8, True).fills(0, 3)
 

@@ -87,10 +87,11 @@ def moment(text):
     return datetime.fromisoformat(f"2025-01-01 {text}")
 
 
+#: Fixed values (FIXTURES.md): times of three datasets.
 KEY_ROWS = {
-    "key1": "08:00 09:00 10:00 10:00 10:00 10:00 14:00 14:15 18:15 18:15",
-    "key2": "08:35 08:35 08:35 10:00 12:10 12:10 12:10 12:10 14:00 15:15 18:00 19:15",
-    "key3": "15:15 16:00 18:15 19:00 22:00 22:05 22:05 22:05",
+    "key1": ["08:00", "09:00", "10:00", "10:00", "10:00", "10:00", "14:00", "14:15", "18:15", "18:15"],
+    "key2": ["08:35", "08:35", "08:35", "10:00", "12:10", "12:10", "12:10", "12:10", "14:00", "15:15", "18:00", "19:15"],
+    "key3": ["15:15", "16:00", "18:15", "19:00", "22:00", "22:05", "22:05", "22:05"],
 }
 
 
@@ -98,7 +99,7 @@ KEY_ROWS = {
 def three(spark, tmp_path_factory):
     store = Store(spark, str(tmp_path_factory.mktemp("three")), Name)
     for name, text in KEY_ROWS.items():
-        rows = [(moment(t), i) for i, t in enumerate(text.split())]
+        rows = [(moment(t), i) for i, t in enumerate(text)]
         store.get(Name(name), "ts").write(spark.createDataFrame(rows, "ts timestamp_ntz, i long"), target=2, seq=["i"])
     return store
 
@@ -120,7 +121,8 @@ def test_intersections(three):
     assert [p[keys[0]].count() for p in grid] == [6, 2, 2, 0]
 
 
-TIMES = "08:00 08:30 09:00 09:30 10:00 10:20 10:40 11:00 11:30 12:00 12:20 12:40 13:00 13:20 13:40 14:00 14:20".split()
+#: Fixed values (FIXTURES.md).
+TIMES = ["08:00", "08:30", "09:00", "09:30", "10:00", "10:20", "10:40", "11:00", "11:30", "12:00", "12:20", "12:40", "13:00", "13:20", "13:40", "14:00", "14:20"]
 
 
 @pytest.mark.parametrize("target,sizes", [(6, [[6, 1], [6, 2], [6, 2]]), ("2h", [[2, 2, 2, 1], [2, 2, 2, 2], [2, 2, 2, 2]])])
@@ -237,3 +239,33 @@ def test_structured_streaming(spark, tmp_path):
     query = windowed(read(), {"sum": ("val", "sum"), "first": ("val", "first")}, "ts", "30 minutes", "1 minute", ["val"]).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     query.awaitTermination()
     assert sorted(r["sum"] for r in spark.table("w").collect()) == sorted(sum(v for _, v in values[i : i + 30]) for i in range(0, 90, 30))
+
+
+@pytest.mark.parametrize("pair", [False, True])
+def test_post_over_restarts_is_one_run(spark, tmp_path, pair):
+    """A rolling sum of three bins, and a running one of two snapshots, in one run and in several."""
+    rows = [(i, moment("08:00") + timedelta(minutes=7 * i), i % 5 + 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, ts timestamp_ntz, val long")
+    roll = lambda found, n: found.withColumn("roll", F.sum("s").over(Window.orderBy("ts").rowsBetween(1 - n, 0)))
+    post = (lambda found, snaps: (roll(found, 3), roll(snaps, 2))) if pair else (lambda found: roll(found, 3))
+    got = []
+    for name, cuts in (("one", []), ("many", [9, 10, 24, 26, 45]), ("flushed", [9, 26])):
+        store = Store(spark, str(tmp_path / name), Name)
+        key = (Name("bins"), Name("snaps")) if pair else Name("bins")
+        options = {"snap_by": TimeBins("15min", "left", "right")} if pair else {}
+        bounds = [0, *cuts, 60]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            stream = AggStream("ts", store, {key: {}}, agg={"s": ("val", "sum")}, bin_by=TimeBins("30min", "left", "right"), post=post, lookback=2, seq=["i"], **options)
+            stream.run(df.filter((F.col("i") >= a) & (F.col("i") < b)), final_write=name != "flushed" or b == 60)
+        got.append([sorted(map(repr, store[k].read().collect())) for k in (key if pair else (key,))])
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == 14
+
+
+def test_a_check_of_any_column_stops_the_run(spark, tmp_path):
+    df = spark.createDataFrame([(moment("08:00"), 1, 5), (moment("08:10"), 2, -5)], "ts timestamp_ntz, i long, val long")
+    check = lambda chunk: chunk.withColumn("val", F.when(F.col("val") < 0, F.raise_error(F.lit("below zero")).cast("long")).otherwise(F.col("val")))
+    store = Store(spark, str(tmp_path / "s"), Name)
+    keys = {Name("counts"): {"agg": {"n": ("i", "sum")}}, Name("sums"): {"agg": {"s": ("val", "sum")}}}
+    with pytest.raises(SeedError, match="below zero"):
+        AggStream("ts", store, keys, bin_by=TimeBins("10min"), pre=check).run(df)
+    assert len(list(store)) == 0

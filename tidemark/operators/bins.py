@@ -21,6 +21,7 @@ from tidemark.sources.scratch import settled
 BIN_COLUMNS = ("bin_id", "bin_start", "bin_end", "bin_label")
 #: Up to so many edges given as a list are searched within the row; more go through an ordered union.
 INLINE_EDGES = 64
+NAMED_ORIGINS = ("start", "end", "start_day", "end_day", "epoch")
 
 
 def check_side(name: str, side: str | None) -> None:
@@ -30,7 +31,9 @@ def check_side(name: str, side: str | None) -> None:
 
 @dataclass(frozen=True)
 class TimeBins:
-    """A grid of a frequency. The origin of fixed steps is midnight of the first row's day, unless one is given."""
+    """A grid of a frequency. The origin of fixed steps is midnight of the first row's day ("start_day"), unless one is given: a
+    time, or "epoch", "start", "end" (the first and last row's time) or "end_day" (midnight after the last row's day). `offset`
+    moves the grid, that of weeks and calendar units too."""
 
     freq: str
     closed: str | None = None
@@ -54,22 +57,31 @@ class TimeBins:
         axis = Axis.of(df, column)
         if not axis.is_time:
             raise TypeError(f"time bins need a timestamp column, {column} is {axis.kind.simpleString()}")
-        shift = Frequency.parse(self.offset).step if self.offset else 0
         if self.frequency.is_calendar or self.frequency.unit == "W":
             return df.withColumn("__origin", F.lit(None).cast("long"))
-        if self.origin is not None:
+        if self.origin is not None and self.origin not in NAMED_ORIGINS:
             given = F.lit(self.origin) if isinstance(self.origin, int) else axis.number(F.lit(self.origin).cast(axis.kind))
-            return df.withColumn("__origin", given + shift)
-        first = df.agg(F.min(column).alias("__first"))
-        day = axis.number(F.col("__first"))
-        first = first.select((day - F.pmod(day, F.lit(DAY)) + shift).alias("__origin"))
-        return df.join(F.broadcast(first))  # one row
+            return df.withColumn("__origin", given + self._shift)
+        low, high = axis.number(F.col("__first")), axis.number(F.col("__last"))
+        own = {"start": low, "end": high, "epoch": F.lit(0).cast("long"), "end_day": high + F.pmod(-high, F.lit(DAY))}.get(self.origin, low - F.pmod(low, F.lit(DAY)))
+        ends = df.agg(F.min(column).alias("__first"), F.max(column).alias("__last"))
+        return df.join(F.broadcast(ends.select((own + self._shift).alias("__origin"))))  # one row
+
+    @property
+    def _shift(self) -> int:
+        return Frequency.parse(self.offset).step if self.offset else 0
+
+    @property
+    def _moved(self) -> int:
+        """What moves anchors that have no origin."""
+        return self._shift if self.frequency.is_calendar or self.frequency.unit == "W" else 0
 
     def _origin(self) -> Column | None:
         return None if self.frequency.is_calendar or self.frequency.unit == "W" else F.col("__origin")
 
     def index(self, micros: Column) -> Column:
         """The bin of a time in microseconds."""
+        micros = micros - self._moved
         if self.closed == "left":
             return self.frequency.index(micros, self._origin())
         if self.frequency.ends:  # whole days belong to the period that their day ends
@@ -77,7 +89,7 @@ class TimeBins:
         return self.frequency.index(micros - 1, self._origin())
 
     def start(self, i: Column) -> Column:
-        return self.frequency.anchor(i, self._origin())
+        return self.frequency.anchor(i, self._origin()) + self._moved
 
     def assign(self, df: DataFrame, column: str, ordered_on: str | None = None, seq: list[str] | None = None) -> DataFrame:
         axis = Axis.of(df, column)
@@ -123,11 +135,14 @@ class EdgeBins:
         if isinstance(self.ends, DataFrame):
             names = self.ends.columns
             marks = self.ends.select(F.col(names[0]).cast(kind).alias("__end"), F.col(names[1] if len(names) > 1 else names[0]).alias("__label"))
+            marks = settled(numbered(marks, ["__end"], "__n"), "edges")
+            before = marks.select((F.col("__n") + 1).alias("__n"), F.col("__end").alias("__start"))
+            return marks.join(before, "__n", "left").drop("__n")
         else:
             labels = self.labels or list(self.ends)
-            rows = [F.struct(F.lit(e).cast(kind).alias("__end"), (F.lit(x) if self.labels else F.lit(x).cast(kind)).alias("__label")) for e, x in zip(self.ends, labels, strict=True)]
-            marks = df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("m")).select("m.*")
-        return marks.withColumn("__start", F.lag("__end").over(Window.orderBy("__end")))
+            starts = [None, *list(self.ends)[:-1]]
+            rows = [F.struct(F.lit(e).cast(kind).alias("__end"), (F.lit(x) if self.labels else F.lit(x).cast(kind)).alias("__label"), F.lit(s).cast(kind).alias("__start")) for e, x, s in zip(self.ends, labels, starts, strict=True)]
+            return df.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("m")).select("m.*")
 
     def assign(self, df: DataFrame, column: str, ordered_on: str | None = None, seq: list[str] | None = None) -> DataFrame:
         """Rows after the last end are in no bin and are left out."""

@@ -16,6 +16,8 @@ from tidemark.sources.scratch import settled
 
 #: Rows of a block of running values; values looked at for each bound of a range.
 BLOCK, SAMPLE = 1 << 18, 20
+#: Marks sent to every task as one sorted array, at most.
+SENT_MARKS = 50_000
 
 
 def default_order(df: DataFrame, ordered_on: str, seq: list[str] | None = None) -> list[str]:
@@ -99,9 +101,21 @@ def bfill(df: DataFrame, column: str, order: list[str], out: str | None = None)
 def next_of(points: DataFrame, point: str, marks: DataFrame, mark: str, inclusive: bool, out: str, payload: list[str] | None = None) -> DataFrame:
     """Adds to each point the next mark: the first at or after it (inclusive), or after it; null if there is none.
 
-    A union in order with the marks and a backward fill, so neither side is gathered. `payload` columns come with the mark.
+    Up to SENT_MARKS marks (counted) are sent as a sorted array and searched by halves; more meet the points by a union in
+    order and a backward fill, so that neither side is gathered. `payload` columns come with the mark.
     """
     payload = payload or []
+    marks = settled(marks.select(mark, *payload), "marks")
+    n = marks.count()
+    if n <= SENT_MARKS:
+        one = F.struct(F.col(mark).alias(out), *(F.col(c) for c in payload))
+        table = marks.agg(F.array_sort(F.collect_list(one)).alias("__marks"))
+        passed = "<" if inclusive else "<="
+        middle = "cast((a.l + a.h) div 2 as int)"
+        search = f"""aggregate(sequence(1, {n.bit_length() + 1}), named_struct('l', 0, 'h', size(__marks)), (a, i) -> if(a.l < a.h,
+            if(get(__marks, {middle}).`{out}` {passed} __at, named_struct('l', {middle} + 1, 'h', a.h), named_struct('l', a.l, 'h', {middle})), a), a -> a.l)"""
+        found = points.withColumn("__at", F.col(f"`{point}`")).join(F.broadcast(table)).withColumn("__mark", F.expr(f"get(__marks, {search})"))
+        return found.select(*(F.col(f"`{c}`") for c in points.columns), "__mark.*")
     held = F.struct(F.col(mark).alias(out), *(F.col(c) for c in payload))
     own = F.struct(*(F.col(f"`{c}`") for c in points.columns))
     left = points.select(F.col(point).alias("__at"), F.lit(0 if inclusive else 1).alias("__side"), own.alias("__row"), F.lit(None).cast(marks.select(held.alias("m")).schema["m"].dataType).alias("__mark"), F.xxhash64(own).alias("__tie"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,13 +105,25 @@ def bin_1h_offset(spark, sf_dir):
     return _bins(spark, sf_dir, TimeBins("1h", offset="20min"), empty=False).drop("bin_start", "bin_end")
 
 
-@query(f"with {_E}, b as (select time_bucket(interval '1 hour', ts) t, {_O} from e where event_id % 50 = 0 group by 1) select t bin_label, sum_c from b where sum_c = 0 union all select t, sum_c from b where sum_c <> 0")
+@query(f"with {_E} select time_bucket(interval '10 minutes', ts) bin_label, sum(case when event_type = 'purchase' then cents else 0 end)::bigint sum_c from e group by 1")
 def bin_zero_allowed(spark, sf_dir):
-    rows = events(spark, sf_dir).filter("event_id % 50 = 0")
-    return bins(rows, {"sum_c": ("cents", "sum")}, TimeBins("1h"), "ts", seq=SEQ, empty=False, error_on_0=False).drop("bin_start", "bin_end")
+    """Bins whose sum is 0, as no row of theirs counts."""
+    rows = events(spark, sf_dir).withColumn("cents", F.when(F.col("event_type") == "purchase", F.col("cents")).otherwise(0))
+    return bins(rows, {"sum_c": ("cents", "sum")}, TimeBins("10min"), "ts", seq=SEQ, empty=False, error_on_0=False).drop("bin_start", "bin_end")
+
+
+@query(f"with {_E} select date_trunc('month', ts - interval '5 days') + interval '5 days' bin_label, {_O} from e group by 1")
+def bin_month_offset(spark, sf_dir):
+    return _bins(spark, sf_dir, TimeBins("MS", offset="5D"), empty=False).drop("bin_start", "bin_end")
+
+
+@query(f"with {_E} select time_bucket(interval '7 hours', ts, (select max(ts) from e)) bin_label, {_O} from e group by 1")
+def bin_origin_end(spark, sf_dir):
+    return _bins(spark, sf_dir, TimeBins("7h", origin="end"), empty=False).drop("bin_start", "bin_end")
 
 
 _EDGES = ["2024-01-02 00:00:00", "2024-01-05 06:30:00", "2024-01-05 06:31:00", "2024-01-20 00:00:00", "2024-02-01 00:00:00"]
+_EDGE_LABELS = ", ".join(f"(timestamp '{e}', 'until {e}')" for e in _EDGES)
 _EDGE_ROWS = ", ".join(f"(timestamp '{e}')" for e in _EDGES)
 
 
@@ -120,6 +133,20 @@ def bin_edges(spark, sf_dir):
     return _bins(spark, sf_dir, EdgeBins(_EDGES, "left"), empty=False).drop("bin_start", "bin_end")
 
 
+@query(f"""with {_E}, d as (select * from (values {_EDGE_LABELS}) t(edge, label)), a as (select e.*, (select min(edge) from d where edge > ts) edge from e)
+select label bin_label, {_O} from a join d using (edge) group by 1""")
+def bin_edge_labels(spark, sf_dir):
+    """Labels given with the edges: a list, here, beyond what a row searches by itself in the next query."""
+    return _bins(spark, sf_dir, EdgeBins(_EDGES, "left", labels=[f"until {e}" for e in _EDGES]), empty=False).drop("bin_start", "bin_end")
+
+
+@query(f"""with {_E}, d as (select * from (values {_EDGE_LABELS}) t(edge, label)), a as (select e.*, (select min(edge) from d where edge >= ts) edge from e)
+select label bin_label, {_O} from a join d using (edge) group by 1""")
+def bin_edge_label_column(spark, sf_dir):
+    edges = spark.sql(f"select edge, label from values {_EDGE_LABELS} as t(edge, label)").withColumn("edge", F.col("edge").cast("timestamp_ntz"))
+    return _bins(spark, sf_dir, EdgeBins(edges, "right"), empty=False).drop("bin_start", "bin_end")
+
+
 @query(f"""with {_E}, d as (select ts edge from e where event_id % 97 = 0), a as (select e.*, (select min(edge) from d where edge >= ts) edge from e)
 select edge bin_label, {_O} from a where edge is not null group by 1""")
 def bin_edges_frame(spark, sf_dir):
@@ -305,13 +332,15 @@ def layout_period(spark, sf_dir):
     return stats.select(floor_ts(F.col("low"), "2D").alias("period"), "n_rows")
 
 
-@query("select 1000 * (select count(*) // 1000 from events) + (select count(*) % 1000 from events) n_rows, 'kept' tag")
+@query("""with r as (select event_id, (row_number() over (order by event_id) - 1) // 1000 f from events)
+select f::int file, count(*) n_rows, min(event_id) low, max(event_id) high, 'kept' tag from r group by f""")
 def metadata_and_compaction(spark, sf_dir):
+    """Small files merged into full ones, with the metadata that two updates left."""
     own = _seeded(spark, sf_dir, 300)
     own.write(None, target=1000, max_off_target=1, metadata={"tag": "kept", "gone": 1})
     own.update_metadata({"gone": None})
-    assert all(f.rows == 1000 for f in own.files[:-1]) and "gone" not in own.metadata
-    return spark.createDataFrame([(own.count(), own.metadata["tag"])], "n_rows long, tag string")
+    tag = own.metadata["tag"] if "gone" not in own.metadata else "both"
+    return spark.createDataFrame([(i, f.rows, f.low, f.high, tag) for i, f in enumerate(own.files)], "file int, n_rows long, low long, high long, tag string")
 
 
 @query("select * from (values (0, 2), (4, 5)) t(slot_start, slot_end)")
@@ -359,12 +388,19 @@ def intersections_2_keys(spark, sf_dir):
     return store.intersections(store.keys()).union().groupBy("key", "interval_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select 'events-0' key, 'events-0' path union all select 'events-1', 'events-1' union all select 'a-b', 'a/b'")
+@query("""with k as (select event_type, count(*) n, min(event_id) low from events group by 1)
+select event_type || '-' || n as key, event_type || '-' || n as path, n from k union all
+select event_type || '-' || low, event_type || '/' || low, low from k""")
 def catalog_keys(spark, sf_dir):
-    rows = [(str(k), k.to_path()) for k in _two(spark, sf_dir)]
-    key = Nested("a", _Below("b"))
-    assert Nested.from_path("a/b") == key
-    return spark.createDataFrame([*rows, (str(key), key.to_path())], "key string, path string")
+    """Keys found again in a store's folders, of one level and of two, with what their datasets hold."""
+    rows, place = events(spark, sf_dir), shared_place(spark)
+    flat, deep = Store(spark, f"{place}/flat", Table), Store(spark, f"{place}/deep", Nested)
+    for name, n, low in rows.groupBy("event_type").agg(F.count(F.lit(1)), F.min("event_id")).collect():
+        own = rows.filter(F.col("event_type") == name).select("event_id")
+        flat.get(Table(name, n), "event_id").write(own, target=2000)
+        deep.get(Nested(name, _Below(str(low))), "event_id").write(own.filter(F.col("event_id") == low), target=2000)
+    found = [(str(k), k.to_path(), store[k].read().agg(f("event_id")).first()[0]) for store, f in ((Store(spark, f"{place}/flat", Table), F.count), (Store(spark, f"{place}/deep", Nested), F.max)) for k in store]
+    return spark.createDataFrame(found, "key string, path string, n long")
 
 
 # ---- ordered helpers
@@ -424,8 +460,9 @@ def floor_ceil_ts(spark, sf_dir):
 
 
 def _chunks(rows: DataFrame) -> list[DataFrame]:
-    """The month in four uneven chunks; the third one begins within a bin of any length."""
-    cuts = ["2024-01-01 00:00:00", "2024-01-04 00:00:00", "2024-01-11 07:13:31", "2024-01-19 00:00:01", "2024-03-01 00:00:00"]
+    """The rows in four uneven chunks, from the first one's time to the last one's; cuts fall within bins of any length."""
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low, *(low + (high - low) * share for share in (0.101, 0.337, 0.604)), high + timedelta(microseconds=1)]
     return [predicates.in_range(rows, "ts", a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -475,6 +512,17 @@ def post_rolling_10(spark, sf_dir):
     return store[key].read()
 
 
+@query(f"with {_E}, d as (select date_trunc('day', ts) ts, sum(cents)::bigint sum_c from e group by 1), r as (select ts, sum_c, sum(sum_c) over w roll, count(*) over w n from d window w as (order by ts rows between 9 preceding and current row)) select ts, sum_c, roll::bigint roll from r where n = 10")
+def post_rolling_10_chunked(spark, sf_dir):
+    """The same over restarts, from the tenth day on: the nine days before the new ones are kept for the hook."""
+    store, key = Store(spark, shared_place(spark), Table), Table("rolling", 1)
+    window = Window.orderBy("ts").rowsBetween(-9, 0)
+    roll = lambda found: found.withColumn("roll", F.sum("sum_c").over(window)).withColumn("n", F.count(F.lit(1)).over(window)).filter("n = 10").drop("n")
+    for chunk in _chunks(events(spark, sf_dir)):
+        AggStream("ts", store, key, agg={"sum_c": ("cents", "sum")}, bin_by=TimeBins("D"), post=roll, lookback=9, seq=SEQ).run(chunk)
+    return store[key].read()
+
+
 @query(f"""with {_E}, b as (select time_bucket(interval '12 hours', ts) + interval '12 hours' t, sum(cents)::bigint sum_c from e group by 1),
 g as (select unnest(generate_series((select min(t) from b), (select max(t) from b), interval '12 hours')) t), p as (select g.t, lag(sum_c) over (order by g.t) previous from g left join b on b.t = g.t),
 s as (select unnest(generate_series((select time_bucket(interval '3 hours', min(ts)) + interval '3 hours' from e), (select time_bucket(interval '3 hours', max(ts)) + interval '3 hours' from e), interval '3 hours')) t),

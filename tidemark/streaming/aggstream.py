@@ -2,7 +2,7 @@
 
 A run aggregates new rows into bins (and snapshots) for each key and upserts the results. What the last bin still needs is
 kept as rows: the seed rows of the bin in progress, in a state dataset beside the result, so that a restarted run gives what
-one run over everything would, for any function and hook. A key's restart index is kept by key, in its metadata.
+one run over everything would. What a hook looks back on is kept too, where it says how far (`lookback`). A key's restart index is kept by key, in its metadata.
 
 The streaming runner feeds micro-batches of a Structured Streaming source to the same code through foreachBatch. `windowed`
 is the plain streaming aggregate, whose watermark decides what is closed.
@@ -22,6 +22,7 @@ from tidemark.operators import segagg
 from tidemark.operators.bins import binner
 from tidemark.operators.predicates import NO_FILTER, checked_order, fan_out, trim_start
 from tidemark.plans.layout import DEFAULT_TARGET
+from tidemark.sources.scratch import settled
 
 TAG = "aggstream"
 
@@ -42,6 +43,7 @@ class KeyConfig:
     target: int | str | tuple = DEFAULT_TARGET
     max_off_target: int | None = None
     bin_on_out: str | None = None
+    lookback: int = 0
 
 
 @dataclass
@@ -49,7 +51,11 @@ class AggStream:
     """`keys`: a list of keys, or key: config (a dict of KeyConfig's fields); with `filters`, filter id: keys in either form.
     A key that is a pair of keys stores bins under the first and snapshots under the second one. `pre(df)` checks or changes
     each chunk (an exception stops the run as SeedError); `post(bins)` or `post(bins, snaps)` changes results, and may return
-    None for nothing to store."""
+    None for nothing to store.
+
+    A `post` that looks back over results (a rolling sum, a lag) names how many in `lookback`: so many finished results of
+    earlier runs, as they were before `post`, stand before the new ones in what it is given, and its results for them aren't
+    stored again. With that, chunked runs store what one run over everything would."""
 
     ordered_on: str
     store: object
@@ -63,6 +69,7 @@ class AggStream:
     post: Callable | None = None
     target: int | str | tuple = DEFAULT_TARGET
     max_off_target: int | None = None
+    lookback: int = 0
     seq: list[str] | None = None
     parallel: bool = False
     configs: dict = field(init=False)
@@ -155,7 +162,12 @@ class AggStream:
             if self.pre is not None:
                 changed = self.pre(chunk)
                 chunk = chunk if changed is None else changed
-            first, last = checked_order(chunk.select(self.ordered_on), self.ordered_on).agg(F.min(self.ordered_on), F.max(self.ordered_on)).first()
+            ends = [F.min(self.ordered_on), F.max(self.ordered_on)]
+            if self.pre is None:
+                first, last = checked_order(chunk.select(self.ordered_on), self.ordered_on).agg(*ends).first()
+            else:  # every column is read here, so that a check within any of them fails before anything is stored
+                whole = F.bit_xor(F.xxhash64(*(F.col(f"`{f.name}`") for f in chunk.schema.fields if "map<" not in f.dataType.simpleString())))
+                first, last, _ = checked_order(chunk, self.ordered_on).agg(*ends, whole).first()
         except Exception as e:
             raise SeedError(f"the seed failed its check: {e}") from e
         if last is None:
@@ -203,26 +215,46 @@ class AggStream:
                 main.update_metadata({TAG: changes})
             return
         by, column = config.bin_by, config.bin_on or self.ordered_on
-        if getattr(by, "origin", 0) is None and not by.frequency.is_calendar and by.frequency.unit != "W":
-            origin = state.get("origin") or rows.agg(F.date_trunc("DAY", F.min(column)).cast("timestamp_ntz")).first()[0]
+        if getattr(by, "origin", 0) in (None, "start_day", "start") and not by.frequency.is_calendar and by.frequency.unit != "W":
+            first = F.min(column) if by.origin == "start" else F.date_trunc("DAY", F.min(column))
+            origin = state.get("origin") or rows.agg(first.cast("timestamp_ntz")).first()[0]
             by = replace(by, origin=origin)
             changes["origin"] = origin
         snap = segagg.snapper(config.snap_by) if config.snap_by is not None else None
         if getattr(snap, "origin", 0) is None and getattr(by, "origin", None) is not None:
             snap = replace(snap, closed=by.closed, origin=by.origin)
+        recent = {}
         if final:
-            self._store_results(key, config, main, rows, by, snap, column)
+            recent = self._store_results(key, config, main, rows, by, snap, column, state.get("recent") or {})
         # Bins before the open one are done; its rows come again with the next run's.
         assigned = by.assign(rows, column, self.ordered_on, self.seq)
         open_rows = assigned.join(F.broadcast(assigned.agg(F.max("bin_id").alias("__open"))), F.col("bin_id") == F.col("__open")) if final else assigned
         folder = f"_state/{uuid.uuid4().hex}"
         open_rows.select(*rows.columns).write.parquet(f"{main.path}/{folder}")
         changes["open_rows"] = folder
+        if recent:
+            changes["recent"] = recent
         main.refresh().update_metadata({TAG: changes})
-        if kept:
-            main.fs.delete(f"{main.path}/{kept}")
+        for gone in [kept, *(state.get("recent") or {}).values()] if recent else [kept]:
+            if gone:
+                main.fs.delete(f"{main.path}/{gone}")
+
+    def _looking_back(self, main, new: DataFrame, on: str, before: str | None):
+        """(the results of earlier runs that end before the new ones, and the new ones; the first new one's place)."""
+        new = settled(new, "results")
+        first = new.agg(F.min(on)).first()[0]
+        if before is None or first is None:
+            return new, first
+        held = self.store.spark.read.schema(new.schema).parquet(f"{main.path}/{before}")
+        return held.filter(F.col(on) < F.lit(first)).unionByName(new), first
+
+    def _remember(self, main, given: DataFrame, on: str, least: int) -> str:
+        """Writes the last results that the next run won't make again: `least` of them, those of open bins not counted."""
+        folder = f"_state/{uuid.uuid4().hex}"
+        given.orderBy(F.col(on).desc()).limit(least).write.parquet(f"{main.path}/{folder}")
+        return folder
 
-    def _store_results(self, key, config: KeyConfig, main, rows: DataFrame, by, snap, column: str) -> None:
+    def _store_results(self, key, config: KeyConfig, main, rows: DataFrame, by, snap, column: str, recent: dict) -> dict:
         pair = isinstance(key, tuple)
         found, snaps = None, None
         if snap is None or pair:
@@ -231,14 +263,26 @@ class AggStream:
         if snap is not None:
             snaps = segagg.snapshots(rows, config.agg, by, snap, self.ordered_on, column, self.seq)
             snaps = snaps.withColumnRenamed("instant", self.ordered_on).drop("bin_label") if self.ordered_on not in config.agg else snaps.drop("bin_label")
+        memory = {}
         if config.post is not None:
-            given = (found, snaps) if pair else (found if snaps is None else snaps,)
+            given = [found, snaps] if pair else [found if snaps is None else snaps]
+            places = [config.bin_on_out, self.ordered_on] if pair else [config.bin_on_out if snaps is None else self.ordered_on]
+            firsts = [None] * len(given)
+            if config.lookback:
+                open_start = by.assign(rows, column, self.ordered_on, self.seq).agg(F.max_by("bin_start", "bin_id")).first()[0] if snap is not None else None
+                for i, on in enumerate(places):
+                    given[i], firsts[i] = self._looking_back(main, given[i], on, recent.get(str(i)))
+                    last = given[i].agg(F.max(on)).first()[0]
+                    # The next run makes the open bin again, and the snapshots within it.
+                    done = F.col(on) < F.lit(last) if on == config.bin_on_out and (pair and i == 0 or snaps is None) else F.col(on) <= F.lit(open_start)
+                    memory[str(i)] = self._remember(main, given[i].filter(done), on, config.lookback)
             result = config.post(*given)
             if result is None:
-                return
+                return memory
             result = result if isinstance(result, tuple) else (result,)
             if len(result) != len(given):
                 raise ValueError(f"post of {key} must return {len(given)} frame(s), not {len(result)}")
+            result = [df if first is None or df is None else df.filter(F.col(on) >= F.lit(first)) for df, on, first in zip(result, places, firsts, strict=True)]
             found, snaps = result if pair else ((result[0], None) if snaps is None else (None, result[0]))
         targets = config.target if isinstance(config.target, tuple) else (config.target, config.target)
         if found is not None:
@@ -247,6 +291,7 @@ class AggStream:
         if snaps is not None:
             own = self.store.get(key[1], self.ordered_on) if pair else main
             self._upsert(own, snaps, self.ordered_on, targets[1], config)
+        return memory
 
     def _upsert(self, own, df: DataFrame, on: str, target, config: KeyConfig) -> None:
         if len(own):
