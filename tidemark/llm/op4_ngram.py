@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import shared_path, words
+from tidemark.llm.shared import ascii_lower, shared_path, words
 from tidemark.llm.text_arrays import mix, pieces, token_hashes
 
 BEGIN, END = np.uint64(0x1), np.uint64(0x2)
@@ -240,9 +240,10 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 def _frequent(texts: DataFrame, bits: int) -> np.ndarray:
-    """Hashes of the tokens that make up more than a quarter of a segment's even share, on STEER_ROWS rows at most."""
-    sample = texts.limit(STEER_ROWS).select(F.explode(words(F.col("t"))).alias("w"))
-    counts = sample.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    """Hashes of the tokens that make up more than a quarter of a segment's even share, on about STEER_ROWS rows from all
+    over the table."""
+    sample = texts.sample(min(1.0, STEER_ROWS / max(1, texts.count())), seed=1).select(F.explode(words(F.col("t"))).alias("w"))
+    counts = sample.groupBy(ascii_lower(F.col("w")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     rows = counts.orderBy(F.desc("n"), "w").limit(4 << bits).collect()
     total = sum(r.n for r in rows) or 1
     names = [r.w.encode() for r in rows if r.n > total / (4 << bits)]

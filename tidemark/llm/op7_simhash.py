@@ -12,7 +12,9 @@ Components are found by hooking and pointer jumping over the links; every round
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; fewer than three words make one shingle;
 repeated rows are nodes' members like copies; where a key is null the component has the smallest key that isn't, or null if
-there is none; an empty table gives an empty result.
+there is none; a fingerprint that most rows have (blank texts, copies) is dealt over tasks; a text of any length is read whole,
+in pieces; which of equal keys names a component can't differ; an empty table gives an empty result. Extra columns are not
+carried, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import spread_join, written
 
 BITS, DISTANCE, WIDTH, SEED = 64, 3, 3, 42
 #: Cost of a probe row, in verified candidates: it is written, moved and sorted.
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = written(rows.groupBy("f").agg(F.coalesce(F.min(F.col("k").cast("long")), F.lit(_NONE)).alias("r")), "nodes")
     edges = written(links(nodes, plan(nodes)), "edges")
     named = written(components(nodes, edges), "components")
-    return rows.join(named, "f").select("k", "f", F.when(F.col("r") != _NONE, F.col("r")).alias("c"))
+    return spread_join(rows, named, "f", "inner").select("k", "f", F.when(F.col("r") != _NONE, F.col("r")).alias("c"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
