@@ -1,12 +1,14 @@
 """The pipeline's near-copy stage against brute force over all pairs of five-word shingle sets."""
 
 import itertools
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline as cp
 from tests.llm.test_pipeline import DATA, shingle_set
 from tidemark.llm import near_copies
+from tidemark.llm.shared import shared_path, written
 
 STAGE = dict(cp.STAGES)["near_duplicates"]
 
@@ -70,3 +72,19 @@ def test_odd_rows(spark):
     out = STAGE(spark, spark.createDataFrame(rows, schema), DATA).collect()
     assert Counter(r.doc_id for r in out) == Counter({3: 1, None: 3, 9: 1})
     assert near_copies.near_copies(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    folder = os.path.dirname(shared_path(spark)).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    long = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, long), (2, long.replace("w100 ", "x ")), (3, "alone here now")], "doc_id long, text string")
+    found = near_copies.near_copies(docs)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert not left & {"prefixes", "first-shingles", "buckets", "entries", "mixed", "met", "sets"} and len({r.c for r in found.collect()}) == 2
+
+
+def test_likely_pairs_need_no_shingle_of_one_node_alone(spark):
+    own = written(spark.createDataFrame([(1, list(range(11))), (2, list(range(1, 12))), (3, [0, 1]), (4, list(range(40, 50)))], "f long, p array<long>"), "own")
+    pairs = spark.createDataFrame([(1, 2, 100, 100), (2, 1, 100, 100), (1, 3, 100, 100), (1, 4, 100, 100), (5, 1, 100, 100)], "fa long, fb long, na int, nb int")
+    assert [tuple(r) for r in near_copies._likely(pairs, own).collect()] == [(1, 2)]

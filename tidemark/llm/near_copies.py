@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.op7_simhash import components
-from tidemark.llm.shared import spread_join, written
+from tidemark.llm.shared import released, spread_join, written
 from tidemark.llm.text_arrays import PIECE, mix, pieces, token_hashes
 
 WIDTH = 5
@@ -126,7 +126,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # A node that many meet, as the first of a large group is, is a hot key of both joins, whose rows carry sets.
     both = spread_join(pairs, whole.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a", "inner")
     both = spread_join(both, whole.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b", "inner")
-    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    links = written(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "verified")
+    released(whole)
+    return links
 
 
 def _like(a: str, b: str):
@@ -141,14 +143,25 @@ def _shared(a: str, b: str):
     return F.ceil(4 * (n + m) / 9) - F.floor((4 * n + 4) / 5) + 1
 
 
+def _likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of the pairs fa, fb of sizes na, nb, as a < b, that have enough first shingles in common. own: p, of each node f
+    those first shingles that another node has among its own too; no others can be in common, and most have none else."""
+    least = F.least(_shared("na", "nb"), _shared("nb", "na"))
+    # A node that is like many meets most of a bucket.
+    met = spread_join(pairs, own.select(F.col("f").alias("fa"), F.col("p").alias("pa")), "fa", "inner").filter(F.size("pa") >= least)
+    met = spread_join(met, own.select(F.col("f").alias("fb"), F.col("p").alias("pb")), "fb", "inner").filter(F.size("pb") >= least)
+    return met.filter(F.size(F.array_intersect("pa", "pb")) >= least).select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, x (xxhash64 of key and text), f (the node) and c (the component, one of its nodes) of every row."""
     own = docs.select(F.col(key).alias("k"), F.xxhash64(key, text).alias("x"), F.col(text).cast("string").alias("t"))
     texts = own.select("t")
     kind = own.schema["k"].dataType.simpleString()
     found = written(own.mapInArrow(_prefixes(often(texts)), f"k {kind}, x long, f long, n int, r int, p array<long>"), "prefixes")
-    rows = found.select("k", "x", "f")
+    rows = written(found.select("k", "x", "f"), "rows")
     nodes = written(found.groupBy("f").agg(F.first("n").alias("n"), F.first("r").alias("r"), F.first("p").alias("p")), "first-shingles")
+    released(found)
     entries = nodes.select("f", "n", "r", F.posexplode("p").alias("i", "h"))
     lead = F.min(F.struct((F.col("i") / F.col("n")).alias("at"), F.xxhash64("h", "f").alias("o"), "f", "n"))
     # Of shingles not seen often a bucket is small; the others' may hold a large part of the nodes, so they are counted in parts.
@@ -160,27 +173,28 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     heads = written(large.groupBy("h").agg(lead.alias("l"), F.count(F.lit(1)).alias("w")).filter("w > 1"), "large-buckets")
     held = small.unionByName(spread_join(large.select("h", "f", "n", "i"), heads, "h", "inner"))
     held = written(held.select("h", "f", "n", "i", F.col("l.f").alias("lf"), F.col("l.n").alias("ln")), "buckets")
-    first = written(held.filter((F.col("f") != F.col("lf")) & _like("n", "ln")).select("f", "lf", "n", "ln").distinct(), "leader-pairs")
-    met = first.join(held.select("f", "h"), "f").join(held.select(F.col("f").alias("lf"), "h"), ["lf", "h"]).groupBy("f", "lf", "n", "ln").agg(F.count(F.lit(1)).alias("shared"))
-    first = met.filter(F.col("shared") >= F.least(_shared("n", "ln"), _shared("ln", "n"))).select(F.least("f", "lf").alias("a"), F.greatest("f", "lf").alias("b")).distinct()
-    first = written(first, "likely-pairs")
-    links = written(verified(first, texts), "leader-links")
-    all_nodes = written(rows.select("f", F.col("f").alias("r")).distinct(), "nodes")
+    all_nodes = written(nodes.select("f", F.col("f").alias("r")), "nodes")
+    released(nodes, heads)
+    own = written(held.groupBy("f").agg(F.collect_list("h").alias("p")), "shared-shingles")
+    first = held.filter((F.col("f") != F.col("lf")) & _like("n", "ln")).select(F.col("f").alias("fa"), F.col("lf").alias("fb"), F.col("n").alias("na"), F.col("ln").alias("nb")).distinct()
+    first = written(_likely(written(first, "leader-pairs"), own), "likely-pairs")
+    links = verified(first, texts)
     label = written(components(all_nodes, links), "leader-components")
     # Buckets of several components: early entries are met by those of the other components and no smaller set.
-    entry = written(held.select("h", "f", "n", "i").join(label.withColumnRenamed("r", "c"), "f"), "entries")
+    label = label.withColumnRenamed("r", "c").join(own.select("f", F.size("p").alias("s")), "f")
+    entry = written(held.select("h", "f", "n", "i").join(label, "f"), "entries")
+    released(held)
     mixed = entry.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    entry = written(entry.join(mixed, "h", "left_semi"), "mixed")
-    early = entry.filter("9 * i <= n").select("h", F.col("c").alias("d"), F.col("f").alias("fb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    mixed = written(entry.join(mixed, "h", "left_semi"), "mixed")
+    released(entry)
+    early = mixed.filter("9 * i <= n").select("h", F.col("c").alias("d"), F.col("f").alias("fb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("s").alias("sb"))
     overlap = F.ceil(4 * (F.col("na").cast("long") + F.col("nb")) / 9)
     reach = (F.col("ia") <= F.col("na") - overlap) & (F.col("ib") <= F.col("nb") - overlap)
-    meets = (F.col("e.h") == F.col("y.h")) & (F.col("c") != F.col("d")) & (F.col("na") >= F.col("nb")) & _like("na", "nb") & reach
-    late = entry.select("h", "c", F.col("f").alias("fa"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    met = late.alias("e").join(early.alias("y"), meets).select("fa", "fb", "na", "nb").distinct()
-    firsts = nodes.select(F.col("f").alias("fa"), F.col("p").alias("pa")), nodes.select(F.col("f").alias("fb"), F.col("p").alias("pb"))
-    # A node that is like many meets most of a bucket.
-    met = spread_join(spread_join(written(met, "met"), firsts[0], "fa", "inner"), firsts[1], "fb", "inner").withColumn("shared", F.size(F.array_intersect("pa", "pb")))
-    rest = met.filter(F.col("shared") >= F.least(_shared("na", "nb"), _shared("nb", "na"))).select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    enough = F.least("sa", "sb") >= F.least(_shared("na", "nb"), _shared("nb", "na"))
+    meets = (F.col("e.h") == F.col("y.h")) & (F.col("c") != F.col("d")) & (F.col("na") >= F.col("nb")) & _like("na", "nb") & reach & enough
+    late = mixed.select("h", "c", F.col("f").alias("fa"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("s").alias("sa"))
+    met = written(late.alias("e").join(early.alias("y"), meets).select("fa", "fb", "na", "nb").distinct(), "met")
+    rest = written(_likely(met, own).join(first, ["a", "b"], "left_anti"), "pairs")
+    released(mixed, met, own)
     links = written(links.unionByName(verified(rest, texts)), "all-links")
     return rows.join(written(components(all_nodes, links), "components").withColumnRenamed("r", "c"), "f").select("k", "x", "f", "c")

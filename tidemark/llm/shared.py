@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import released
 from tidemark.sources.scratch import settled as written
 from tidemark.sources.scratch import shared_place as shared_path
 
-__all__ = ["ascii_lower", "regex_spans", "shared_path", "span_text", "spare", "spread_join", "words", "written"]
+__all__ = ["ascii_lower", "regex_spans", "released", "shared_path", "span_text", "spare", "spread_join", "words", "written"]
 
 #: White space of the token contracts: space and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

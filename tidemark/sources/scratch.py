@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -32,4 +33,16 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     """The frame written and read back: what is read several times is computed once, and losing an executor loses none of it."""
     path = shared_place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._place = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that settled() returned and nothing reads any more. Shuffle files of finished queries go too: Spark
+    removes them when the driver collects garbage, which a driver with little to do might not for hours."""
+    for table in tables:
+        where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._place)
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
