@@ -88,3 +88,25 @@ def test_likely_pairs_need_no_shingle_of_one_node_alone(spark):
     own = written(spark.createDataFrame([(1, list(range(11))), (2, list(range(1, 12))), (3, [0, 1]), (4, list(range(40, 50)))], "f long, p array<long>"), "own")
     pairs = spark.createDataFrame([(1, 2, 100, 100), (2, 1, 100, 100), (1, 3, 100, 100), (1, 4, 100, 100), (5, 1, 100, 100)], "fa long, fb long, na int, nb int")
     assert [tuple(r) for r in near_copies._likely(pairs, own).collect()] == [(1, 2)]
+
+
+def test_first_candidates_are_linked_by_fingerprint(spark):
+    rng = random.Random(5)
+    prints = [rng.getrandbits(62) for _ in range(40)]
+    prints += [p ^ 1 << rng.randrange(62) ^ 1 << rng.randrange(62) for p in prints[:20]] + prints[:5] + [p ^ 0b11111 for p in prints[30:]]
+    rows = [(i, s, 100 if i != 40 else 300) for i, s in enumerate(prints)]
+    least, want = {}, set()
+    for i, s, n in rows:
+        least.setdefault(s, (i, n))
+    for i, s, n in rows:
+        near = min((t for t in least if t < s and (s ^ t).bit_count() <= 3), default=None)
+        other = least[s] if least[s][0] != i else least[near] if near is not None else None
+        if other and 5 * min(n, other[1]) >= 4 * max(n, other[1]):
+            want.add((min(i, other[0]), max(i, other[0])))
+    got = near_copies.alike(written(spark.createDataFrame(rows, "f long, s long, n int"), "own")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_fingerprints_of_sets():
+    own = near_copies.np.array([0b0111, 0b0011, 0b1001], "uint64")
+    assert near_copies.simhash(own) == 0b0011 and near_copies.simhash(own, 2) == 0b0011 and near_copies.simhash(own[:0]) == 0

@@ -1,7 +1,9 @@
 """Near copies: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts of the same words are one node. The search is exact (prefix filter): under any one order of all shingles, two sets of
-that similarity share one of the first n - ceil(0.8 n) + 1 of each, n being the set's own size. The order is that of the
+Texts of the same words are one node. The first candidates are op7's: SimHash fingerprints, here of the sets of five-word
+shingles, linked at 3 or fewer bits by its generalised pigeonhole search, and each fingerprint with the least that it links to.
+Sets of similarity 0.8 differ in more bits than any pigeonhole search can span, so the rest is found in an exact way (prefix
+filter), which would find these too: under any one order of all shingles, two sets of that similarity share one of the first n - ceil(0.8 n) + 1 of each, n being the set's own size. The order is that of the
 hashes, with shingles seen often last, so that common lines and passages rarely lead to candidates. What was seen often
 decides the cost alone, never the result; it is counted over all rows, in blocks, and what occurs once in a block isn't sent.
 
@@ -9,8 +11,8 @@ The first shingle in the order that two such sets share stands early in both: at
 for the overlap o = 4 (n + m) / 9 that they need. So the smaller set has it among its first m / 9, and only entries that early
 are met by others: what a bucket of a common passage is full of stands later than that and meets nothing.
 
-Nodes with enough of these first shingles in common are verified on their whole sets, in two steps. First each against one node of the shingle's
-bucket, the one in which the shingle stands earliest: of a group of near copies that is the one with the fewest shingles of its
+Nodes with enough of these first shingles in common are verified on their whole sets, in two steps. First, with the candidates by
+fingerprint, each against one node of the shingle's bucket, the one in which the shingle stands earliest: of a group of near copies that is the one with the fewest shingles of its
 own, which is like most of the others, so that a large group is joined in work proportional to its size. Then those that are still in different components against
 each other. Components are those of op7.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.op7_simhash import components
+from tidemark.llm.op7_simhash import BITS, components, links, plan
 from tidemark.llm.shared import released, spread_join, written
 from tidemark.llm.text_arrays import PIECE, mix, pieces, token_hashes
 
@@ -82,20 +84,29 @@ def often(texts: DataFrame) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def simhash(own: np.ndarray, block: int = 1 << 16) -> int:
+    """The fingerprint of a set of shingles, as a signed integer: a bit is set if it is in over half the hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(own), block):
+        counts += np.unpackbits(own[i : i + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view(np.int64)[0])
+
+
 def _prefixes(late: np.ndarray):
     def run(batches):
         for batch in batches:
-            nodes, sizes, seldom, firsts = [], [], [], []
+            nodes, prints, sizes, seldom, firsts = [], [], [], [], []
             for node, own in sets(batch.column(2)):
                 n = len(own)
                 at = np.minimum(np.searchsorted(late, own), max(len(late) - 1, 0))
                 last = late[at] == own if len(late) else np.zeros(n, bool)
                 ordered = np.concatenate([own[~last], own[last]])
                 nodes.append(node)
+                prints.append(simhash(own))
                 sizes.append(n)
                 seldom.append(n - int(last.sum()))
                 firsts.append(ordered[: n - (4 * n + 4) // 5 + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(seldom, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["k", "x", "f", "n", "r", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(seldom, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["k", "x", "f", "s", "n", "r", "p"])
 
     return run
 
@@ -126,9 +137,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # A node that many meet, as the first of a large group is, is a hot key of both joins, whose rows carry sets.
     both = spread_join(pairs, whole.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a", "inner")
     both = spread_join(both, whole.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b", "inner")
-    links = written(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "verified")
+    like = written(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "verified")
     released(whole)
-    return links
+    return like
 
 
 def _like(a: str, b: str):
@@ -153,14 +164,27 @@ def _likely(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_intersect("pa", "pb")) >= least).select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes (f, s: the fingerprint, n: the size) that op7's search links: each node with the least one of its
+    fingerprint, and that with the least one of the least fingerprint within 3 bits, so that large groups have no more."""
+    heads = written(nodes.groupBy("s").agg(F.min(F.struct("f", "n")).alias("m")), "fingerprints")
+    prints = heads.select(F.col("s").alias("f"))
+    near = written(links(prints, plan(prints)).groupBy("b").agg(F.min("a").alias("a")), "fingerprint-links")
+    same = spread_join(nodes.select("s", "f", "n"), heads, "s", "inner").filter(F.col("f") != F.col("m.f"))
+    other = heads.select(F.col("s").alias("b"), F.col("m.f").alias("f"), F.col("m.n").alias("n"))
+    other = spread_join(near.join(other, "b"), heads.withColumnRenamed("s", "a"), "a", "inner")
+    both = same.select("f", "n", "m").unionByName(other.select("f", "n", "m")).filter(_like("n", "m.n"))
+    return both.select(F.least("f", "m.f").alias("a"), F.greatest("f", "m.f").alias("b"))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, x (xxhash64 of key and text), f (the node) and c (the component, one of its nodes) of every row."""
     own = docs.select(F.col(key).alias("k"), F.xxhash64(key, text).alias("x"), F.col(text).cast("string").alias("t"))
     texts = own.select("t")
     kind = own.schema["k"].dataType.simpleString()
-    found = written(own.mapInArrow(_prefixes(often(texts)), f"k {kind}, x long, f long, n int, r int, p array<long>"), "prefixes")
+    found = written(own.mapInArrow(_prefixes(often(texts)), f"k {kind}, x long, f long, s long, n int, r int, p array<long>"), "prefixes")
     rows = written(found.select("k", "x", "f"), "rows")
-    nodes = written(found.groupBy("f").agg(F.first("n").alias("n"), F.first("r").alias("r"), F.first("p").alias("p")), "first-shingles")
+    nodes = written(found.groupBy("f").agg(F.first("s").alias("s"), F.first("n").alias("n"), F.first("r").alias("r"), F.first("p").alias("p")), "first-shingles")
     released(found)
     entries = nodes.select("f", "n", "r", F.posexplode("p").alias("i", "h"))
     lead = F.min(F.struct((F.col("i") / F.col("n")).alias("at"), F.xxhash64("h", "f").alias("o"), "f", "n"))
@@ -174,12 +198,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     held = small.unionByName(spread_join(large.select("h", "f", "n", "i"), heads, "h", "inner"))
     held = written(held.select("h", "f", "n", "i", F.col("l.f").alias("lf"), F.col("l.n").alias("ln")), "buckets")
     all_nodes = written(nodes.select("f", F.col("f").alias("r")), "nodes")
+    near = written(alike(nodes), "alike")
     released(nodes, heads)
     own = written(held.groupBy("f").agg(F.collect_list("h").alias("p")), "shared-shingles")
     first = held.filter((F.col("f") != F.col("lf")) & _like("n", "ln")).select(F.col("f").alias("fa"), F.col("lf").alias("fb"), F.col("n").alias("na"), F.col("ln").alias("nb")).distinct()
-    first = written(_likely(written(first, "leader-pairs"), own), "likely-pairs")
-    links = verified(first, texts)
-    label = written(components(all_nodes, links), "leader-components")
+    first = written(_likely(written(first, "leader-pairs"), own).unionByName(near).distinct(), "likely-pairs")
+    found = verified(first, texts)
+    label = written(components(all_nodes, found), "leader-components")
     # Buckets of several components: early entries are met by those of the other components and no smaller set.
     label = label.withColumnRenamed("r", "c").join(own.select("f", F.size("p").alias("s")), "f")
     entry = written(held.select("h", "f", "n", "i").join(label, "f"), "entries")
@@ -196,5 +221,5 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     met = written(late.alias("e").join(early.alias("y"), meets).select("fa", "fb", "na", "nb").distinct(), "met")
     rest = written(_likely(met, own).join(first, ["a", "b"], "left_anti"), "pairs")
     released(mixed, met, own)
-    links = written(links.unionByName(verified(rest, texts)), "all-links")
-    return rows.join(written(components(all_nodes, links), "components").withColumnRenamed("r", "c"), "f").select("k", "x", "f", "c")
+    found = written(found.unionByName(verified(rest, texts)), "all-links")
+    return rows.join(written(components(all_nodes, found), "components").withColumnRenamed("r", "c"), "f").select("k", "x", "f", "c")
