@@ -146,6 +146,17 @@ def test_edges_flags_and_functions(spark):
     assert [r.s for r in got] == [sum(x for _, x in rows if x // 100 == k) for k in range(4) if any(x // 100 == k for _, x in rows)]
 
 
+def test_groups_of_many_batches(spark):
+    """Groups that end within a batch and beyond it, in order whatever the rows' order is, and rows without a group."""
+    rows = spark.range(45_000).select(F.pmod(F.col("id") * 7919, F.lit(45_000)).alias("x"))
+    kind = F.when(F.col("x") < 11_000, "a").when(F.col("x") < 36_000, "b")
+    rows = rows.select("x", kind.alias("kind"), F.when(F.col("x") != 30_000, F.col("x")).alias("y"))
+    by = GroupedBins(lambda p: [i // 10_000 for i in range(len(p))], group="kind")
+    got = bins(rows, {"kind": ("kind", "min"), "n": ("x", "max"), "y": ("y", "sum")}, by, "x").orderBy("bin_start").collect()
+    cuts = [("a", 0, 10_000), ("a", 10_000, 11_000), ("b", 11_000, 21_000), ("b", 21_000, 31_000), ("b", 31_000, 36_000), (None, 36_000, 45_000)]
+    assert [(r.kind, r.bin_start, r.n, r.y) for r in got] == [(k, a, b - 1, sum(range(a, b)) - 30_000 * (a <= 30_000 < b)) for k, a, b in cuts]
+
+
 def test_wrong_specs(s7):
     with pytest.raises(ValueError, match="unknown aggregation"):
         bins(s7, {"a": ("value", "mean")}, "1h", "dti")

@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.axis import Axis
 from tidemark.functions.frequency import DAY, Frequency
@@ -21,6 +24,8 @@ from tidemark.sources.scratch import settled
 BIN_COLUMNS = ("bin_id", "bin_start", "bin_end", "bin_label")
 #: Up to so many edges given as a list are searched within the row; more go through an ordered union.
 INLINE_EDGES = 64
+#: Rows of a batch that a user function's worker gives back.
+PANDAS_ROWS = 10_000
 NAMED_ORIGINS = ("start", "end", "start_day", "end_day", "epoch")
 
 
@@ -216,12 +221,34 @@ class FlagBins:
     all_bins = None
 
 
+class _Grown:
+    """An array that grows in place, so that a group's batches and the whole group are never held together."""
+
+    def __init__(self):
+        self._held, self._n = None, 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self._held is None:
+            self._held = np.empty(len(more), more.dtype)
+        if self._held.dtype != more.dtype:  # numbers with and without nulls
+            self._held = self._held.astype(np.result_type(self._held.dtype, more.dtype))
+        end = self._n + len(more)
+        if end > len(self._held):
+            self._held.resize(max(end, len(self._held) * 5 // 4), refcheck=False)
+        self._held[self._n : end] = more
+        self._n = end
+
+    def values(self) -> np.ndarray:
+        self._held.resize(self._n, refcheck=False)
+        return self._held
+
+
 @dataclass(frozen=True)
 class GroupedBins:
     """Bins by a user function over the pandas rows of each group, in order; it returns a bin number for each row.
 
     The function sees one group at a time in one task, so a group must fit a worker's memory: the group column is the
-    caller's, and is part of the bin's identity.
+    caller's, and is part of the bin's identity. A worker holds a group's columns once, with the numbers; nulls come last.
     """
 
     function: Callable = field(compare=False)
@@ -231,23 +258,38 @@ class GroupedBins:
     def assign(self, df: DataFrame, column: str, ordered_on: str | None = None, seq: list[str] | None = None) -> DataFrame:
         order, run, names = default_order(df, ordered_on or column, seq), self.function, df.columns
 
-        def numbers(pdf):
-            pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        def numbered_group(held):
+            pdf = pd.DataFrame({c: held.pop(c).values() for c in names}, copy=False)
             found = run(pdf)
             if len(found) != len(pdf):
                 raise ValueError("the binner must return a number for each row")
-            own = pdf[names].assign(__local=list(map(int, found)))
-            if not own["__local"].is_monotonic_increasing:
+            found = np.fromiter(map(int, found), "int64", len(pdf))
+            if (found[1:] < found[:-1]).any():
                 raise ValueError("bin numbers must not fall")
-            return own
-
-        from pyspark.sql.types import LongType, StructField, StructType
+            for at in range(0, len(pdf), PANDAS_ROWS):
+                yield pdf[at : at + PANDAS_ROWS][names].assign(__local=found[at : at + PANDAS_ROWS])
+
+        def numbers(batches):
+            held = {}
+            for batch in batches:
+                starts = np.flatnonzero(batch.pop("__starts").to_numpy(dtype=bool))
+                for a, b in zip([0, *starts], [*starts, len(batch)], strict=True):
+                    if held and a in starts:
+                        yield from numbered_group(held)
+                    if a < b:
+                        for c in names:
+                            held.setdefault(c, _Grown()).add(batch[c].to_numpy()[a:b])
+            if held:
+                yield from numbered_group(held)
 
         schema = StructType([*df.schema.fields, StructField("__local", LongType())])
-        rows = df.groupBy(self.group).applyInPandas(numbers, schema)
+        within = Window.partitionBy(self.group).orderBy(*(F.col(f"`{c}`").asc_nulls_last() for c in order))
+        rows = settled(df.withColumn("__starts", F.row_number().over(within) == 1).mapInPandas(numbers, schema), "grouped")
         firsts = rows.groupBy(self.group, "__local").agg(F.min(column).alias("__first"))
         firsts = numbered(firsts, ["__first", self.group, "__local"], "bin_id")
-        return _ends_from_rows(rows.join(firsts, [self.group, "__local"]).drop("__local", "__first"), column, self.closed)
+        same = F.col(f"r.`{self.group}`").eqNullSafe(F.col(f"f.`{self.group}`")) & (F.col("r.__local") == F.col("f.__local"))
+        rows = rows.alias("r").join(firsts.alias("f"), same).select(*(F.col(f"r.`{c}`") for c in names), "bin_id")
+        return _ends_from_rows(rows, column, self.closed)
 
     all_bins = None
 
