@@ -236,3 +236,16 @@ def test_struct_columns(spark):
     assert columns.conform_names([("a", 1), ("ts", ""), "x"]) == ["a__1", "ts", "x"]
     with pytest.raises(TypeError):
         columns.check_names([("a", 1)])
+
+
+def test_many_files_lie_in_one_folder(spark, tmp_path):
+    """A write's files stand side by side, each region's in a folder of its own, with bounds that agree with the rows."""
+    own = OrderedDataset(spark, str(tmp_path / "d"), "a")
+    own.write(spark.range(1000).select(F.pmod(F.col("id") * 7, F.lit(1000)).alias("a")), target=9)
+    assert sizes(own) == [9] * 111 + [1] and len({f.path.rsplit("/", 1)[0] for f in own.files}) == 1
+    assert [(f.low, f.high) for f in own.files] == [(i, min(i + 8, 999)) for i in range(0, 1000, 9)]
+    assert all(own[i].read().agg(F.min("a"), F.max("a"), F.count("a")).first() == (f.low, f.high, f.rows) for i, f in enumerate(own.files) if i % 37 == 0)
+    assert own.read().count() == 1000 and own[1:60].read().count() == 59 * 9
+    own.write(spark.createDataFrame([(3,), (4,), (500,), (501,), (1500,)], "a long"), target=4)
+    assert own.read().count() == own.count() == 1005 and [r.a for r in own.read(start=499, end_excl=503).orderBy("a").collect()] == [499, 500, 500, 501, 501, 502]
+    assert all(x.high <= y.low for x, y in zip(own.files, own.files[1:], strict=False)) and max(sizes(own)) == 9

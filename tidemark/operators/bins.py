@@ -140,7 +140,7 @@ class EdgeBins:
         if isinstance(self.ends, DataFrame):
             names = self.ends.columns
             marks = self.ends.select(F.col(names[0]).cast(kind).alias("__end"), F.col(names[1] if len(names) > 1 else names[0]).alias("__label"))
-            marks = settled(numbered(marks, ["__end"], "__n"), "edges")
+            marks = numbered(marks, ["__end"], "__n")
             before = marks.select((F.col("__n") + 1).alias("__n"), F.col("__end").alias("__start"))
             return marks.join(before, "__n", "left").drop("__n")
         else:
@@ -198,8 +198,8 @@ class RowBins:
 
 
 def _ends_from_rows(rows: DataFrame, column: str, closed: str) -> DataFrame:
-    """Start, end and label of bins made of rows, whose numbers follow each other: from each bin's first and last value."""
-    rows = settled(rows, "bins")
+    """Start, end and label of bins made of rows, whose numbers follow each other: from each bin's first and last value. The
+    rows are read twice."""
     ends = rows.groupBy("bin_id").agg(F.min(column).alias("bin_start"), F.max(column).alias("__last"))
     after = ends.select((F.col("bin_id") - 1).alias("bin_id"), F.col("bin_start").alias("__next"))
     ends = ends.join(after, "bin_id", "left")
@@ -216,7 +216,7 @@ class FlagBins:
 
     def assign(self, df: DataFrame, column: str, ordered_on: str | None = None, seq: list[str] | None = None) -> DataFrame:
         order = default_order(df, ordered_on or column, seq)
-        return _ends_from_rows(running_count(df, F.coalesce(self.starts, F.lit(False)), order, "bin_id"), column, self.closed)
+        return _ends_from_rows(settled(running_count(df, F.coalesce(self.starts, F.lit(False)), order, "bin_id"), "bins"), column, self.closed)
 
     all_bins = None
 
@@ -289,7 +289,7 @@ class GroupedBins:
         firsts = numbered(firsts, ["__first", self.group, "__local"], "bin_id")
         same = F.col(f"r.`{self.group}`").eqNullSafe(F.col(f"f.`{self.group}`")) & (F.col("r.__local") == F.col("f.__local"))
         rows = rows.alias("r").join(firsts.alias("f"), same).select(*(F.col(f"r.`{c}`") for c in names), "bin_id")
-        return _ends_from_rows(rows, column, self.closed)
+        return _ends_from_rows(settled(rows, "bins"), column, self.closed)
 
     all_bins = None
 

@@ -1,9 +1,8 @@
 """Global order without a single task: numbering, fills, set membership and keep-last over ranges of the order.
 
-A window over the whole table would gather it in one task. Instead rows are dealt out by ranges of the order, numbered within
-their range, and the ranges' counts (one row each) give the offsets. The bounds of the ranges are functions of the rows'
-values alone (the order's values with the least hashes), so every pass over the rows agrees on them, however Spark plans it.
-Running values work on blocks of the numbering in the same way: inside a block by a window, across blocks by a window over
+A window over the whole table would gather it in one task. Instead rows are sorted by ranges of the order and written once, a
+file for each range: a row's number is its place in the file and the count of the files before (one row each). What is written
+doesn't change, so every pass over the rows agrees on their numbers, however Spark plans it. Running values work on blocks of the numbering in the same way: inside a block by a window, across blocks by a window over
 one row for each block.
 """
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import settled
 
-#: Rows of a block of running values; values looked at for each bound of a range.
-BLOCK, SAMPLE = 1 << 18, 20
+#: Rows of a block of running values.
+BLOCK = 1 << 18
 #: Marks sent to every task as one sorted array, at most.
 SENT_MARKS = 50_000
 
@@ -27,37 +26,29 @@ def default_order(df: DataFrame, ordered_on: str, seq: list[str] | None = None)
     return [ordered_on, *(c for c in seq if c != ordered_on)]
 
 
-def ranges(df: DataFrame, order: list[str], parts: int, out: str) -> DataFrame:
-    """Adds the number of the row's range of the order, of about `parts` even ones; ties in all order columns stay together.
+def numbered(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
+    """Adds the row's number in the order, from 0.
 
-    The bounds are one row of at most `parts` values, taken from SAMPLE values for each range.
+    The rows are sorted by Spark's own range sort and written, a file for each range; a row's number is its place in its file
+    and the rows of the files before. What is read back again and again is computed once.
     """
-    names = [f"o{i}" for i in range(len(order))]
-    plain = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(order, names, strict=True)))
-    held = df.select(plain.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts)
-    bounds = held.agg(F.array_sort(F.collect_list("k")).alias("b"))
-    picked = F.expr(f"transform(filter(sequence({SAMPLE}, greatest({SAMPLE}, size(b)), {SAMPLE}), i -> i < size(b)), i -> b[i])")
-    bounds = bounds.select(picked.alias("__bounds"))
-    steps = max(1, parts.bit_length() + 1)
-    search = f"""aggregate(sequence(1, {steps}), named_struct('l', 0, 'h', size(__bounds)), (a, i) -> if(a.l < a.h,
-        if(get(__bounds, cast((a.l + a.h) div 2 as int)) <= __key, named_struct('l', cast((a.l + a.h) div 2 + 1 as int), 'h', a.h),
-           named_struct('l', a.l, 'h', cast((a.l + a.h) div 2 as int))), a), a -> a.l)"""
-    return df.withColumn("__key", plain).join(F.broadcast(bounds)).withColumn(out, F.expr(search)).drop("__bounds", "__key")
-
-
-def numbered(df: DataFrame, order: list[str], out: str = "rn", parts: int | None = None) -> DataFrame:
-    """Adds the row's number in the order, from 0. The order's columns must depend on the row alone."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = ranges(df, order, parts, "__part")
-    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))  # a row for each range
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*(F.col(f"`{c}`") for c in order))) - 1
-    return rows.withColumn("__within", within).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col("__within")).drop("__part", "__within", "__before")
+    names = df.columns
+    rows = settled(df.orderBy(*(F.col(f"`{c}`") for c in order)), "numbered")
+    place, where = rows._place, F.col("_metadata.file_name")
+    counts = rows.groupBy(where.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each range
+    before, offsets = 0, []
+    for name, n in sorted(counts):  # files are named in the order of their tasks
+        offsets.append((name, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(offsets, "__range string, __before long")
+    rows = rows.select(*(F.col(f"`{c}`") for c in names), where.alias("__range"), F.col("_metadata.row_index").alias("__within"))
+    rows = rows.join(F.broadcast(offsets), "__range").withColumn(out, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+    rows._place = place
+    return rows
 
 
 def _blocked(df: DataFrame, order: list[str], block: int) -> DataFrame:
-    return settled(numbered(df, order, "__rn"), "numbered").withColumn("__block", F.call_function("div", F.col("__rn"), F.lit(block)))
+    return numbered(df, order, "__rn").withColumn("__block", F.call_function("div", F.col("__rn"), F.lit(block)))
 
 
 def running_count(df: DataFrame, flag: Column, order: list[str], out: str, block: int = BLOCK) -> DataFrame:

@@ -13,6 +13,7 @@ import json
 import time
 import uuid
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from tidemark.sources.fs import FileSystem
 from tidemark.sources.manifest import ConcurrentCommit, DataFile, Manifest, commit, latest
 
 _SRC, _FILE, _ROW, _PLACE, _REGION = "__src", "__file_no", "__row_no", "__place", "__region"
+#: Up to so many files of a folder are read as a list of paths.
+LISTED_PATHS = 32
 
 
 class View:
@@ -87,10 +90,26 @@ class View:
         if not files:
             df = self.spark.createDataFrame([], self.schema)
         else:
-            df = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f.path}" for f in files))
+            df = self._scan([f.path for f in files], self.schema)
         df = in_range(df, self.ordered_on, start, end_excl)
         return df.select(*columns) if columns else df
 
+    def _scan(self, paths: list[str], schema: T.StructType) -> DataFrame:
+        """Some files' rows. A folder of which all files are wanted is given as a folder: Spark lists that at once, but looks
+        up each path of a list by a task of its own."""
+        batches = {}
+        for p in paths:
+            batches.setdefault(p.rsplit("/", 1)[0], []).append(p)
+        given = []
+        for folder, own in batches.items():
+            whole = len(own) > LISTED_PATHS and len(self._files.files(f"{self.path}/{folder}")) == len(own)
+            given += [folder] if whole else own
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*(f"{self.path}/{p}" for p in given))
+
+    @cached_property
+    def _files(self) -> FileSystem:
+        return FileSystem(self.spark, self.path)
+
     def ordered(self, **kwargs) -> DataFrame:
         """The rows in order."""
         return self.read(**kwargs).orderBy(self.ordered_on)
@@ -276,7 +295,7 @@ class OrderedDataset(View):
         parts = []
         if region_of_file:
             paths = sorted(region_of_file)
-            old = self.spark.read.schema(schema).parquet(*(f"{self.path}/{self.files[i].path}" for i in paths))
+            old = self._scan([self.files[i].path for i in paths], schema)
             name = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
             rows = [(self.files[i].path.split("data/", 1)[1], i, region_of_file[i]) for i in paths]
             listed = self.spark.createDataFrame(rows, f"__name string, {_FILE} long, {_REGION} int")  # a row for each file
@@ -291,22 +310,63 @@ class OrderedDataset(View):
         order += [c for c in default_order(self.spark.createDataFrame([], schema), on, seq) if c not in order]
         if keys is not None:
             rows = keep_last(rows, [_REGION, *keys], order)
-        if isinstance(target, str):
-            axis = Axis(schema[on].dataType)
-            freq = Frequency.parse(target)
-            rows = rows.withColumn("__cut", freq.index(axis.number(F.col(on))).cast("long"))
-        else:
-            rows = numbered(rows, [_REGION, *order], "__rn")
-            firsts = rows.groupBy(_REGION).agg(F.min("__rn").alias("__first"))  # a row for each region
-            rows = rows.join(F.broadcast(firsts), _REGION).withColumn("__cut", F.call_function("div", F.col("__rn") - F.col("__first"), F.lit(target)))
         batch = f"data/{uuid.uuid4().hex}"
-        part = F.concat_ws("-", _REGION, "__cut").alias("cut")
-        rows = rows.select(*names, _SRC, _FILE, _ROW, part).repartition("cut").sortWithinPartitions("cut", *order)
+        if not isinstance(target, str):
+            return self._write_counted(rows, order, target, names, batch), set(region_of_file)
+        axis = Axis(schema[on].dataType)
+        cut = Frequency.parse(target).index(axis.number(F.col(on))).cast("long")
+        rows = rows.select(*names, _SRC, _FILE, _ROW, F.concat_ws("-", _REGION, cut).alias("cut")).repartition("cut").sortWithinPartitions("cut", *order)
         rows.drop(_SRC, _FILE, _ROW).write.partitionBy("cut").parquet(f"{self.path}/{batch}")
+        return self._read_back(batch, schema), set(region_of_file)
+
+    def _write_counted(self, rows: DataFrame, order: list[str], target: int, names: list[str], batch: str) -> list[DataFile]:
+        """Files of `target` rows, each region's last one of what is left.
+
+        Tasks have whole files that follow each other, and Spark begins a new file after `target` rows; only regions have
+        folders of their own, if there are several. Rows and bounds come from the numbered rows, not from the files.
+        """
+        on, spark = self.ordered_on, self.spark
+        rows = numbered(rows, [_REGION, *order], "__rn")
+        place = rows._place
+        listed, before, cuts = [], 0, 0
+        for region, n in sorted(rows.groupBy(_REGION).agg(F.count(F.lit(1))).collect()):  # a row for each region
+            listed.append((region, before, cuts))
+            before, cuts = before + n, cuts - (-n // target)
+        if not listed:
+            return []
+        tasks = min(cuts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), before // DEFAULT_TARGET))
+        share = -(-cuts // tasks)  # files of a task
+        tasks = -(-cuts // share)
+        listed = spark.createDataFrame(listed, f"{_REGION} int, __first long, __cuts long")
+        cut = F.col("__cuts") + F.call_function("div", F.col("__rn") - F.col("__first"), F.lit(target))
+        rows = rows.join(F.broadcast(listed), _REGION).withColumn("__cut", cut)
+        stats = rows.groupBy(_REGION, "__cut").agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("low"), F.max(on).alias("high")).collect()  # a row for each file
+        dealt = rows.repartitionById(tasks, F.call_function("div", F.col("__cut"), F.lit(share)).cast("int"))
+        dealt = dealt.select(*names, F.col(_REGION).alias("region"), "__rn").sortWithinPartitions("region", "__rn").drop("__rn")
+        several = len({r[_REGION] for r in stats}) > 1
+        writer = (dealt.write.partitionBy("region") if several else dealt.drop("region").write).option("maxRecordsPerFile", target)
+        writer.parquet(f"{self.path}/{batch}")
+        self.fs.delete(place)
+        held = {}
+        for r in sorted(stats, key=lambda r: r["__cut"]):
+            held.setdefault((r[_REGION] if several else 0, r["__cut"] // share), []).append(r)
+        found = []
+        for region in sorted({k[0] for k in held}):
+            folder = f"{batch}/region={region}" if several else batch
+            files = {}
+            for name in self.fs.files(f"{self.path}/{folder}"):  # in the order of tasks, and of files within a task
+                files.setdefault(int(name.split("-", 2)[1]), []).append(name)
+            own = {task: v for (of, task), v in held.items() if of == region}
+            if {t: len(v) for t, v in files.items()} != {t: len(v) for t, v in own.items()}:
+                raise RuntimeError(f"{folder} doesn't have the files that were planned")
+            found += [DataFile(f"{folder}/{name}", r.n, r.low, r.high) for t in files for name, r in zip(files[t], own[t], strict=True)]
+        return found
+
+    def _read_back(self, batch: str, schema: T.StructType) -> list[DataFile]:
+        on = self.ordered_on
         stats = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.path}/{batch}")
         stats = stats.select(F.col("_metadata.file_path").alias("p"), on).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min(on).alias("low"), F.max(on).alias("high"))
-        found = [DataFile(f"{batch}/{r.p.split(f'{batch}/', 1)[1]}", r.n, r.low, r.high) for r in stats.collect()]
-        return found, set(region_of_file)
+        return [DataFile(f"{batch}/{r.p.split(f'{batch}/', 1)[1]}", r.n, r.low, r.high) for r in stats.collect()]
 
 
 def write(spark: SparkSession, dataset: str | OrderedDataset, ordered_on: str | None = None, df: DataFrame | None = None, **options) -> OrderedDataset:
