@@ -221,28 +221,6 @@ class FlagBins:
     all_bins = None
 
 
-class _Grown:
-    """An array that grows in place, so that a group's batches and the whole group are never held together."""
-
-    def __init__(self):
-        self._held, self._n = None, 0
-
-    def add(self, more: np.ndarray) -> None:
-        if self._held is None:
-            self._held = np.empty(len(more), more.dtype)
-        if self._held.dtype != more.dtype:  # numbers with and without nulls
-            self._held = self._held.astype(np.result_type(self._held.dtype, more.dtype))
-        end = self._n + len(more)
-        if end > len(self._held):
-            self._held.resize(max(end, len(self._held) * 5 // 4), refcheck=False)
-        self._held[self._n : end] = more
-        self._n = end
-
-    def values(self) -> np.ndarray:
-        self._held.resize(self._n, refcheck=False)
-        return self._held
-
-
 @dataclass(frozen=True)
 class GroupedBins:
     """Bins by a user function over the pandas rows of each group, in order; it returns a bin number for each row.
@@ -258,6 +236,28 @@ class GroupedBins:
     def assign(self, df: DataFrame, column: str, ordered_on: str | None = None, seq: list[str] | None = None) -> DataFrame:
         order, run, names = default_order(df, ordered_on or column, seq), self.function, df.columns
 
+        # Within the function, so that it goes to workers with it.
+        class Grown:
+            """An array that grows in place, so that a group's batches and the whole group are never held together."""
+
+            def __init__(self):
+                self._held, self._n = None, 0
+
+            def add(self, more: np.ndarray) -> None:
+                if self._held is None:
+                    self._held = np.empty(len(more), more.dtype)
+                if self._held.dtype != more.dtype:  # numbers with and without nulls
+                    self._held = self._held.astype(np.result_type(self._held.dtype, more.dtype))
+                end = self._n + len(more)
+                if end > len(self._held):
+                    self._held.resize(max(end, len(self._held) * 5 // 4), refcheck=False)
+                self._held[self._n : end] = more
+                self._n = end
+
+            def values(self) -> np.ndarray:
+                self._held.resize(self._n, refcheck=False)
+                return self._held
+
         def numbered_group(held):
             pdf = pd.DataFrame({c: held.pop(c).values() for c in names}, copy=False)
             found = run(pdf)
@@ -278,7 +278,7 @@ class GroupedBins:
                         yield from numbered_group(held)
                     if a < b:
                         for c in names:
-                            held.setdefault(c, _Grown()).add(batch[c].to_numpy()[a:b])
+                            held.setdefault(c, Grown()).add(batch[c].to_numpy()[a:b])
             if held:
                 yield from numbered_group(held)
 
